@@ -51,6 +51,14 @@ class Keyed:
         copies = F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)
         return probe.withColumn(SALT, F.explode(copies)).drop("_shares")
 
+    def lookup(self, probe: DataFrame, how: str) -> DataFrame:
+        """Join on ``keys`` and ``spread`` together: one row of the table at most, in one known share of its key."""
+        if self.hot is not None:
+            shares = F.coalesce("_shares", F.lit(1))
+            salt = F.pmod(F.xxhash64(*self.spread), shares).cast("int")
+            probe = probe.join(F.broadcast(self.hot), self.keys, "left").withColumn(SALT, salt).drop("_shares")
+        return probe.join(self.table, self.on + self.spread, how).drop(SALT)
+
     def join(self, probe: DataFrame, probe_rows: int = 0) -> DataFrame:
         """Inner join on ``keys``. Only ``probe`` is shuffled.
 
