@@ -1,30 +1,67 @@
-"""Labelled graphs derived from the order and event tables."""
+"""Labelled graphs derived from the order, line and event tables, and their stored form."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathweave.functions.rank import global_rank
+from pathweave.session import scratch_path
+from pathweave.sources.text import store_edges
+
+
+def successor(df: DataFrame, key: list[str], order: list[str], value: str, steps: int = 1) -> DataFrame:
+    """``df`` with ``next``: ``value`` of the row ``steps`` later in ``order`` among rows of the same ``key``.
+
+    As a window per key would give it, but through global positions: a key with a third of all rows is no single task.
+    """
+    ranked = global_rank(df, [*key, *order], "_at")
+    later = ranked.select((F.col("_at") - steps).alias("_at"), *(F.col(c).alias(f"_{c}") for c in key), F.col(value).alias("next"))
+    same = ranked.join(later, "_at")
+    for c in key:
+        same = same.where(F.col(c) == F.col(f"_{c}"))
+    return same.drop("_at", *(f"_{c}" for c in key))
+
+
+def _edges(steps: DataFrame, src: str, label: Column) -> DataFrame:
+    return steps.select(F.col(src).alias("src"), label.alias("label"), F.col("next").alias("dst")).distinct()
+
 
 def part_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Consecutive parts of an order, labelled by the first one's quantity."""
     items = spark.read.parquet(f"{folder}/lineitem.parquet")
-    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    steps = items.select(
-        F.col("l_partkey").alias("src"),
-        F.col("l_quantity").cast("int").alias("label"),
-        F.lead("l_partkey").over(line).alias("dst"),
-    )
-    return steps.where("dst is not null").distinct()
+    items = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return _edges(successor(items, ["l_orderkey"], order, "l_partkey"), "l_partkey", F.col("l_quantity").cast("int"))
 
 
 def handoff(spark: SparkSession, folder: str) -> DataFrame:
     """The user of the same day's next event, labelled by the event's ``k``."""
     events = spark.read.parquet(f"{folder}/events.parquet")
-    day = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    steps = events.select(
-        F.col("user_id").alias("src"),
-        F.get_json_object("props", "$.k").cast("int").alias("label"),
-        F.lead("user_id").over(day).alias("dst"),
-    )
-    return steps.where("dst is not null").distinct()
+    events = events.select("event_id", "ts", "user_id", F.to_date("ts").alias("day"),
+                           F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return _edges(successor(events, ["day"], ["ts", "event_id"], "user_id"), "user_id", F.col("k"))
+
+
+def order_follow(spark: SparkSession, folder: str) -> DataFrame:
+    """An order to the customer's next order (label 1) and the one after it (label 2): a sparse graph."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_custkey", "o_orderdate", "o_orderkey")
+    ahead = [
+        _edges(successor(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey", n), "o_orderkey", F.lit(n))
+        for n in (1, 2)
+    ]
+    return ahead[0].unionByName(ahead[1])
+
+
+_GRAPHS = {"part_chain": part_chain, "handoff": handoff, "order_follow": order_follow}
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def graph(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The edges of a derived graph from its parquet store, which is written at first use in an application."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _stored:
+        path = scratch_path(spark, name)
+        store_edges(_GRAPHS[name](spark, folder), path)
+        _stored[key] = path
+    return spark.read.schema("src bigint, label int, dst bigint").parquet(_stored[key])

@@ -121,5 +121,5 @@ def read_signatures(spark: SparkSession, path: str, level: int | None = None) ->
     return lines.where("value <> ''").select(
         number.cast("int").alias("level"),
         words[0].cast("bigint").alias("block"),
-        F.explode(F.split(words[1], ",")).cast("int").alias("label"),
+        F.explode(F.split(words[1], ",").cast("array<int>")).alias("label"),
     )
