@@ -57,7 +57,7 @@ class Keyed:
             shares = F.coalesce("_shares", F.lit(1))
             salt = F.pmod(F.xxhash64(*self.spread), shares).cast("int")
             probe = probe.join(F.broadcast(self.hot), self.keys, "left").withColumn(SALT, salt).drop("_shares")
-        return probe.join(self.table, self.on + self.spread, how).drop(SALT)
+        return self._unsalted(probe.join(self.table, self.on + self.spread, how))
 
     def join(self, probe: DataFrame, probe_rows: int = 0) -> DataFrame:
         """Inner join on ``keys``. Only ``probe`` is shuffled.
@@ -68,7 +68,7 @@ class Keyed:
         """
         busy = hot_keys(probe, self.keys, probe_rows, self.parts, "_cuts") if probe_rows else None
         if busy is None:
-            return self._copies(probe).join(self.table, self.on).drop(SALT)
+            return self._unsalted(self._copies(probe).join(self.table, self.on))
         busy = F.broadcast(busy)
         calm = self._copies(probe.join(busy, self.keys, "left_anti")).join(self.table, self.on)
         others = [c for c in probe.columns if c not in self.keys]
@@ -77,4 +77,7 @@ class Keyed:
         every_cut = F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))
         hot_table = self.table.join(busy, self.keys).withColumn("_cut", every_cut).drop("_cuts")
         crowded = hot_probe.join(hot_table, self.on + ["_cut"]).drop("_cut")
-        return calm.unionByName(crowded).drop(SALT)
+        return self._unsalted(calm.unionByName(crowded))
+
+    def _unsalted(self, df: DataFrame) -> DataFrame:
+        return df if self.hot is None else df.drop(SALT)

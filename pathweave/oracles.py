@@ -145,7 +145,7 @@ where p.src in (select node from s) and exists (select 1 from s where s.node = p
     "rpq_pairs_closure": _rpq(HANDOFF, R3, 2),
     "rpq_pairs_lookup": _rpq(CHAIN, R2, 3),
     "rpq_reachable": _rpq(CHAIN, C2, 3, columns="node"),
-    "rpq_from_node": _rpq(CHAIN, C2, 3, "where e.src = 17"),
+    "rpq_from_node": _rpq(HANDOFF, R3, 2, "where e.src = 17"),
     "fragment_matches": f"""with recursive {ORDERS}, {YEARS}, {CROSS}, {_automaton(FOLLOW)},
 r(q_from, u, q, v) as (
   select a.q, e.src, a.t, e.dst from e join a on a.label = e.label where a.q = 1 or e.src in (select node from b)
@@ -155,7 +155,7 @@ r(q_from, u, q, v) as (
 select q_from, q as q_to, u, v from r where q = 3 or v in (select node from b)""",
     "compose_matches": _rpq(ORDERS, FOLLOW, 3),
     "rpq_partial_eval": _rpq(CHAIN, R2, 3),
-    "rpq_partial_eval_from_node": _rpq(CHAIN, R2, 3, "where e.src = 17"),
+    "rpq_partial_eval_from_node": _rpq(HANDOFF, R3, 2, "where e.src = 17"),
     "crpq_merge": f"""with recursive {HANDOFF}, a1(q, label, t) as (values {R2}), a2(q, label, t) as (values {C2}),
 {_walk('r1', 'a1')}, {_walk('r2', 'a2')}
 select origin, node from r1 where q = 3 intersect select origin, node from r2 where q = 3""",

@@ -50,11 +50,11 @@ class Visited:
         self.runs = [(self._lay(self.runs, parts), self.rows, frozenset().union(*(r[2] for r in self.runs)))]
 
     def new(self, candidates: DataFrame, tags: frozenset) -> DataFrame:
-        """Candidates not visited. Runs that cannot hold a state tagged like them are not read."""
-        for run, _, held in self.runs:
-            if held & tags:
-                candidates = candidates.join(run, self.keys, "left_anti")
-        return candidates
+        """Candidates not visited, sorted as merge joins leave them. Runs without any of their tags are not read."""
+        runs = [run for run, _, held in self.runs if held & tags]
+        for run in runs:
+            candidates = candidates.join(run, self.keys, "left_anti")
+        return candidates if runs else candidates.sortWithinPartitions(*self.keys)
 
     def table(self, tags: frozenset | None = None) -> DataFrame | None:
         runs = [run for run, _, held in self.runs if tags is None or held & tags]
@@ -72,7 +72,7 @@ def fixpoint(
     relay: Callable[[int], None] = lambda parts: None,
     max_rounds: int | None = None,
 ) -> Visited:
-    """States reachable from ``seed`` by ``expand(frontier, rows, tags)``; ``keys`` are all columns of a state.
+    """States reachable from ``seed`` by ``expand(frontier, rows, tags)``, which gives the columns ``keys``, all of a state.
 
     ``first`` and ``follow`` say which tags (automaton states) the first and the next frontier can carry: a round whose
     tags never occurred before subtracts nothing, and the loop ends without a probing job when no tag is left.
@@ -80,9 +80,9 @@ def fixpoint(
     """
     visited, tags, rounds = Visited(keys), first, 0
     with loop_settings(spark, parts):
-        frontier = seed.select(*keys).distinct()
+        frontier = seed.select(*keys).distinct().sortWithinPartitions(*keys)
         while True:
-            frontier, seen = settle(frontier.sortWithinPartitions(*keys))
+            frontier, seen = settle(frontier)
             rows = seen["rows"]
             if not rows:
                 return visited
@@ -98,5 +98,4 @@ def fixpoint(
                 spark.conf.set("spark.sql.shuffle.partitions", str(parts))
                 visited.relay(parts)
                 relay(parts)
-            candidates = expand(frontier, rows, tags).select(*keys).distinct()
-            frontier, tags = visited.new(candidates, following), following
+            frontier, tags = visited.new(expand(frontier, rows, tags).distinct(), following), following

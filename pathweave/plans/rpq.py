@@ -63,7 +63,7 @@ def rpq(
     visited = fixpoint(
         product.spark,
         seed,
-        lambda frontier, rows, tags: _pairs(product.step(_leaving(frontier, automaton, tags), rows)),
+        lambda frontier, rows, tags: _pairs(product.step(_leaving(frontier, automaton, tags), rows), "origin"),
         PAIR_STATE,
         product.parts,
         automaton.successors({START}),
@@ -156,7 +156,7 @@ def compose(
     visited = fixpoint(
         product.spark,
         seed,
-        lambda frontier, rows, tags: _pairs(product.step(frontier, rows)),
+        lambda frontier, rows, tags: _pairs(product.step(frontier, rows), "origin"),
         PAIR_STATE,
         product.parts,
         relay=product.keyed.relay,
@@ -179,10 +179,10 @@ def _lookup(edges: DataFrame, automaton: Automaton, starts: DataFrame | None, ma
         if rows > BROADCAST_ROWS:
             if not stored:
                 stored.append(ProductGraph(product_edges(edges, automaton)))
-            return _pairs(stored[0].step(_leaving(frontier, automaton, tags), rows))
+            return _pairs(stored[0].step(_leaving(frontier, automaton, tags), rows), "origin")
         wanted = frontier.join(steps, "q").withColumnRenamed("node", "src").drop("q")
         read = label_scan(edges, automaton.labels_from(tags))
-        return _pairs(read.join(F.broadcast(wanted), ["src", "label"]))
+        return _pairs(read.join(F.broadcast(wanted), ["src", "label"]), "origin")
 
     return fixpoint(
         spark,
@@ -202,10 +202,9 @@ def _leaving(frontier: DataFrame, automaton: Automaton, tags: frozenset) -> Data
     return frontier if alive == tags else frontier.where(F.col("q").isin(sorted(alive)))
 
 
-def _pairs(moved: DataFrame) -> DataFrame:
+def _pairs(moved: DataFrame, *carried: str) -> DataFrame:
     """The states reached by moves: the end node and state replace those left."""
-    kept = [c for c in moved.columns if c not in ("src", "q", "dst", "t", "label")]
-    return moved.select(*kept, F.col("dst").alias("node"), F.col("t").alias("q"))
+    return moved.select(*carried, F.col("dst").alias("node"), F.col("t").alias("q"))
 
 
 def _answers(spark: SparkSession, visited: Visited, final: int, columns=("origin", "node")) -> DataFrame:

@@ -179,9 +179,14 @@ def compose_matches(spark, folder):
     return rpq.compose(fragment_matches(spark, folder), ORDERS.final)
 
 
-def rpq_partial_eval(spark, folder, starts=None):
+def rpq_partial_eval(spark, folder):
     edges = _chain(spark, folder)
-    return rpq.rpq(edges, R2, starts, "fragments", _thirds(edges))
+    return rpq.rpq(edges, R2, strategy="fragments", fragment=_thirds(edges))
+
+
+def rpq_partial_eval_from_node(spark, folder):
+    edges = _handoff(spark, folder)
+    return rpq.rpq(edges, R3, _start(spark), "fragments", _thirds(edges))
 
 
 # --- conjunctions and signatures
@@ -274,11 +279,11 @@ QUERIES = {
     "rpq_pairs_closure": lambda s, d: rpq.rpq(_handoff(s, d), R3),
     "rpq_pairs_lookup": lambda s, d: rpq.rpq(_chain(s, d), R2, strategy="lookup"),
     "rpq_reachable": lambda s, d: rpq.rpq_reachable(_chain(s, d), C2),
-    "rpq_from_node": lambda s, d: rpq.rpq(_chain(s, d), C2, _start(s)),
+    "rpq_from_node": lambda s, d: rpq.rpq(_handoff(s, d), R3, _start(s)),
     "fragment_matches": fragment_matches,
     "compose_matches": compose_matches,
     "rpq_partial_eval": rpq_partial_eval,
-    "rpq_partial_eval_from_node": lambda s, d: rpq_partial_eval(s, d, _start(s)),
+    "rpq_partial_eval_from_node": rpq_partial_eval_from_node,
     "crpq_merge": lambda s, d: conjunctive.crpq_merge(_handoff(s, d), [R2, C2]),
     "start_label_division": lambda s, d: conjunctive.start_label_division(_handoff(s, d), [5, 8]),
     "crpq_one_go": lambda s, d: conjunctive.crpq_one_go(_handoff(s, d), BOTH),
