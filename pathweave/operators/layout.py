@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathweave.functions.rank import global_rank
+from pathweave.session import settle
 
-def pack(edges: DataFrame) -> DataFrame:
-    """One row per ``(src, label)`` with its destinations, sorted.
 
-    The row is the result asked for, so a hub's list is one value; queries work on unpacked edges.
-    """
-    return edges.groupBy("src", "label").agg(F.sort_array(F.collect_set("dst")).alias("dsts"))
+# Destinations one packed row may hold.
+LONGEST_LIST = 1_000_000
+
+
+def pack(edges: DataFrame, longest: int = LONGEST_LIST) -> DataFrame:
+    """One row per ``(src, label)`` with its destinations, sorted; hubs with more than ``longest`` take several rows."""
+    return _packed(edges, F.col("dst"), longest)
+
+
+def pack_flagged(flagged: DataFrame, longest: int = LONGEST_LIST) -> DataFrame:
+    """Packed rows whose destinations carry the flag ``local``."""
+    return _packed(flagged, F.struct("dst", "local"), longest)
+
+
+def _packed(edges: DataFrame, item: Column, longest: int) -> DataFrame:
+    key = ["src", "label"]
+    # at most one key per `longest` edges, found by counts that combine before the shuffle
+    long = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > longest)
+    share = F.pmod(F.xxhash64("dst"), F.ceil(F.coalesce("_n", F.lit(1)) / longest))
+    lists = edges.join(long, key, "left").groupBy(*key, share.alias("_share"))
+    return lists.agg(F.sort_array(F.collect_set(item)).alias("dsts")).drop("_share")
 
 
 def unpack(adjacency: DataFrame) -> DataFrame:
@@ -33,12 +51,6 @@ def unpack_text(adjacency: DataFrame) -> DataFrame:
     return each.select("src", "label", F.substring_index("word", "-", 1).cast("bigint").alias("dst"))
 
 
-def pack_flagged(flagged: DataFrame) -> DataFrame:
-    """Packed rows whose destinations carry the flag ``local``."""
-    item = F.struct("dst", "local")
-    return flagged.groupBy("src", "label").agg(F.sort_array(F.collect_set(item)).alias("dsts"))
-
-
 def sink_nodes(edges: DataFrame, n_nodes: int) -> DataFrame:
     """Ids of ``0..n_nodes-1`` without an outgoing edge."""
     ids = edges.sparkSession.range(n_nodes).select(F.col("id").alias("node"))
@@ -50,19 +62,29 @@ def graph_size(edges: DataFrame) -> DataFrame:
     return edges.select("src", "label").distinct().agg(F.count(F.lit(1)).alias("packed_rows"))
 
 
-def undirected_lines(edges: DataFrame, n_nodes: int) -> DataFrame:
-    """Adjacency lines ``(node, line)`` for nodes ``1..n_nodes``: neighbours of either direction, repeated as often as
-    there are edges, blank where there are none. A line is one node's whole list, as the format wants it."""
+def undirected_lines(edges: DataFrame, n_nodes: int, longest: int = LONGEST_LIST) -> DataFrame:
+    """Adjacency lines of nodes ``1..n_nodes``: neighbours of either direction in order, repeated as often as there are
+    edges; empty where there are none. ``(node, piece, line)``: a hub's line is cut into pieces of ``longest`` neighbours.
+    """
     out = edges.select((F.col("src") + 1).alias("node"), (F.col("dst") + 1).alias("near"))
     back = edges.select((F.col("dst") + 1).alias("node"), (F.col("src") + 1).alias("near"))
+    ranked = global_rank(out.unionByName(back), ["node", "near"], "_at")
+    first = ranked.groupBy("node").agg(F.min("_at").alias("_first"))
+    piece = F.floor((F.col("_at") - F.col("_first")) / longest).cast("int").alias("piece")
     near = F.sort_array(F.collect_list("near")).cast("array<string>")
-    lines = out.unionByName(back).groupBy("node").agg(F.array_join(near, " ").alias("line"))
+    lines = ranked.join(first, "node").groupBy("node", piece).agg(F.array_join(near, " ").alias("line"))
     ids = edges.sparkSession.range(1, n_nodes + 1).select(F.col("id").alias("node"))
-    return ids.join(lines, "node", "left").select("node", F.coalesce("line", F.lit("")).alias("line"))
+    full = ids.join(lines, "node", "left")
+    return full.select("node", F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("line", F.lit("")).alias("line"))
 
 
-def write_undirected_lines(edges: DataFrame, n_nodes: int, path: str) -> None:
-    undirected_lines(edges, n_nodes).orderBy("node").select("line").write.text(path)
+def write_undirected_lines(edges: DataFrame, n_nodes: int, path: str, longest: int = LONGEST_LIST) -> None:
+    """One text line per node in node order. The format wants a node's neighbours on one line, and a text sink writes a
+    line from one row; a node with more than ``longest`` neighbours is refused, as a larger ``longest`` may be given."""
+    lines, seen = settle(undirected_lines(edges, n_nodes, longest), pieces=F.max("piece"))
+    if seen["pieces"]:
+        raise ValueError(f"a node has more than {longest} neighbours")
+    lines.orderBy("node").select("line").write.text(path)
 
 
 def last_write_wins(edges: DataFrame, sequence: list[str]) -> DataFrame:

@@ -123,7 +123,7 @@ ORACLES = {
     "undirected_adjacency_export": f"""with {ORDERS}, i as (select unnest(range(1, {TOTAL} + 1)) as node),
 u as (select src + 1 as node, dst + 1 as near from e union all select dst + 1, src + 1 from e),
 l as (select node, string_agg(cast(near as varchar), ' ' order by near) as line from u group by node)
-select i.node, coalesce(l.line, '') as line from i left join l on l.node = i.node""",
+select i.node, 0 as piece, coalesce(l.line, '') as line from i left join l on l.node = i.node""",
     "edge_list_write": f"with {CHAIN} select src || ' ' || dst || ' ' || label as line from e",
     "colouring_write": f"with {CHAIN}, {COLOURS} select node, colour from c",
     "colouring_read": f"with {CHAIN}, {COLOURS} select node, colour from c",

@@ -101,6 +101,11 @@ def _graph_transitions(spark, folder):
     )
 
 
+def undirected_adjacency_export(spark, folder):
+    edges = _orders(spark, folder)
+    return layout.undirected_lines(edges, _n_nodes(edges))
+
+
 def edge_list_write(spark, folder):
     path = scratch_path(spark, "edges")
     text.write_edges(_chain(spark, folder), path)
@@ -263,7 +268,7 @@ QUERIES = {
     "label_scan_sources": lambda s, d: steps.label_scan_sources(_chain(s, d), [5, 6, 7]),
     "key_lookup_join": key_lookup_join,
     "graph_size": lambda s, d: layout.graph_size(_chain(s, d)),
-    "undirected_adjacency_export": lambda s, d: layout.undirected_lines(_orders(s, d), _n_nodes(_orders(s, d))),
+    "undirected_adjacency_export": undirected_adjacency_export,
     "edge_list_write": edge_list_write,
     "colouring_write": colouring_write,
     "colouring_read": colouring_read,

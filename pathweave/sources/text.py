@@ -76,14 +76,15 @@ def read_automaton(spark: SparkSession, path: str, label_type: str = "int") -> A
     return Automaton(tuple(sorted((s["q"], s["label"], s["t"]) for s in steps)), read_n_states(spark, path))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their position in the file, ``(node, line)`` from 0. Only the text API keeps the order of a file."""
+    lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda row: (row[1], row[0]))
+    return spark.createDataFrame(lines, "node bigint, line string")
+
+
 def read_numbered_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
     """One number per line; the line's position in the file is the node id."""
-    return (
-        spark.sparkContext.textFile(path)
-        .zipWithIndex()
-        .map(lambda row: (row[1], int(row[0])))
-        .toDF(f"node bigint, {column} int")
-    )
+    return read_lines(spark, path).select("node", F.col("line").cast("int").alias(column))
 
 
 def write_numbered_lines(table: DataFrame, path: str, column: str) -> None:

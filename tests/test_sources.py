@@ -12,6 +12,7 @@ from pathweave.operators.fragments import (
 )
 from pathweave.operators.signatures import signature_build
 from pathweave.operators.stats import label_frequency
+from pathweave.operators.steps import label_scan_sources
 from pathweave.sources import text
 from pathweave.sources.derived import successor
 from tests.conftest import random_edges, rows
@@ -75,9 +76,30 @@ def test_pack_and_text_forms(edges_of):
         )
 
 
-def test_undirected_lines_keep_gaps_and_multiplicity(edges_of):
-    lines = dict(rows(layout.undirected_lines(edges_of([(0, 5, 2), (0, 6, 2), (2, 5, 4)]), 5)))
-    assert lines == {1: "3 3", 2: "", 3: "1 1 5", 4: "", 5: "3"}
+def test_long_lists_take_several_rows(edges_of):
+    data = [(0, 5, d) for d in range(40)] + [(1, 5, 2), (0, 6, 1)]
+    packed = layout.pack(edges_of(data), longest=10)
+    found = packed.collect()
+    assert len([r for r in found if (r["src"], r["label"]) == (0, 5)]) > 2
+    assert rows(layout.unpack(packed)) == set(data) and sum(len(r["dsts"]) for r in found) == len(data)
+
+
+def test_undirected_lines_keep_gaps_and_multiplicity(spark, edges_of, tmp_path):
+    edges, path = edges_of([(0, 5, 2), (0, 6, 2), (2, 5, 4), (4, 5, 0)]), str(tmp_path / "lines")
+    layout.write_undirected_lines(edges, 6, path)
+    lines = dict(rows(text.read_lines(spark, path)))
+    assert lines == {0: "3 3 5", 1: "", 2: "1 1 5", 3: "", 4: "1 3", 5: ""}
+    pieces = rows(layout.undirected_lines(edges, 6, longest=2))
+    assert {p for p in pieces if p[0] == 1} == {(1, 0, "3 3"), (1, 1, "5")}
+    with pytest.raises(ValueError):
+        layout.write_undirected_lines(edges, 6, path + "2", longest=2)
+
+
+def test_label_predicate_reaches_the_edge_store(spark, edges_of, tmp_path):
+    stored = text.store_edges(edges_of(random_edges(15, graphs=2)), str(tmp_path / "store"))
+    plan = label_scan_sources(stored, [5, 6])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(label, [5,6])]" in plan
+    assert "ReadSchema: struct<src:bigint,label:int>" in plan
 
 
 def test_boundary_definitions_agree(edges_of):
