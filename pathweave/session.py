@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Rows a table may have to be broadcast: rows here are a few numbers wide, so this stays near 10 MB.
 BROADCAST_ROWS = 200_000
 # Static rows (edges) and accumulated rows (search states) wanted per partition.
-EDGES_PER_PART = 250_000
+EDGES_PER_PART = 100_000
 STATES_PER_PART = 500_000
 # A key below this many rows is never hot.
 HOT_ROWS = 100_000
@@ -51,9 +51,12 @@ def settle(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
 
 
 def parts_for(spark: SparkSession, rows: int) -> int:
-    """Partitions for a loop over ``rows`` static rows: by size, and enough to keep small inputs parallel."""
-    floor = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
-    return max(floor, math.ceil(rows / EDGES_PER_PART))
+    """Partitions for a loop over ``rows`` static rows: few for a small input, whose rounds are all fixed cost, else by
+    size and at least one per core."""
+    cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if rows <= EDGES_PER_PART:
+        return min(cores, 4)
+    return max(cores, math.ceil(rows / EDGES_PER_PART))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -15,7 +15,7 @@ R4 = Automaton.of("1 5 2; 2 5 2; 2 5 3; 3 6 4")
 LOOP = Automaton.of("1 5 2; 2 6 1; 2 7 3; 3 5 3; 3 8 1", final=3)
 
 
-@pytest.mark.parametrize("automaton", [R2, R3, R4, LOOP])
+@pytest.mark.parametrize("automaton", [R2, R4, LOOP])
 def test_all_strategies_equal_plain_search(spark, edges_of, automaton):
     data = random_edges(1)
     edges, want = edges_of(data), accepted(data, automaton)
@@ -91,7 +91,7 @@ def _hub():
     return data + [(i, 6, i + 1) for i in range(60, 110)] + [(i, 7, 0) for i in range(80, 120)] + [(0, 6, 0)]
 
 
-@pytest.mark.parametrize("automaton", [R2, R3, LOOP])
+@pytest.mark.parametrize("automaton", [R2, R3])
 def test_hot_keys_on_both_sides_of_the_join(monkeypatch, edges_of, automaton):
     monkeypatch.setattr(keyed, "HOT_ROWS", 4)
     monkeypatch.setattr(session, "EDGES_PER_PART", 20)
