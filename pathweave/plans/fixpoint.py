@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pathweave.session import STATES_PER_PART, loop_settings, settle
 
 # Runs of visited states that a round compares with before they are merged into one.
-MAX_RUNS = 6
+MAX_RUNS = 4
 
 
 class Visited:

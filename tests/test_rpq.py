@@ -102,7 +102,7 @@ def test_hot_keys_on_both_sides_of_the_join(monkeypatch, edges_of, automaton):
 
 
 def test_states_outgrow_their_partitions(monkeypatch, edges_of):
-    monkeypatch.setattr(loop, "STATES_PER_PART", 250)
+    monkeypatch.setattr(loop, "STATES_PER_PART", 900)
     monkeypatch.setattr(loop, "MAX_RUNS", 2)
     data = _hub()
     assert rows(rpq(edges_of(data), R3)) == accepted(data, R3)
