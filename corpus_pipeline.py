@@ -4,26 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import exact_dedup, simhash
+from pathweave.llm import exact_dedup, mixing, packing, simhash, toxicity
+from pathweave.llm.queries import tokenizer_path
 from pathweave.session import scratch_path
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold of toxicity. It learns from the labels beside the documents."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest id."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the smallest id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.packed(docs, tokenizer_path())
+
+
 STAGES = [
-    ("exact dedup", lambda spark, docs, sf_dir: exact_dedup.drop_exact_duplicates(docs)),
-    ("near dedup", lambda spark, docs, sf_dir: simhash.drop_near_duplicates(docs)),
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
 ]
 
-#: Fingerprints, a trained classifier and tokens have no SQL.
+#: A trained classifier, fingerprints and tokens have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again by the next."""
+    """All stages over ``documents``, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if at + 1 == len(STAGES):
-            return out
+    for name, stage in STAGES[:-1]:
         path = scratch_path(spark, "stage-" + name.replace(" ", "-"))
-        out.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

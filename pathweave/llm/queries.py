@@ -4,27 +4,79 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import exact_dedup, simhash
+from pathweave.llm import exact_dedup, mixing, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The file of the tokenizer that packing counts with; every executor has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_toxicity": op3_toxicity,
+    "op6_packing": op6_packing,
+    "op7_mixing": op7_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES = {
+    "op7_mixing": r"""
+        with recursive docs as (
+          select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+        summed as (
+          select source, sum(size) as source_size, sum(size * (2048 + least(size, 2048))) as heavy from docs group by source),
+        sources as (
+          select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from summed),
+        levels(i, level) as (
+          select 0, sum(source_size)::bigint / sum(weight)::bigint from sources
+          union all
+          select i + 1, ((select sum(source_size) from sources)
+                         - sum(case when 3 * source_size < level * weight then 3 * source_size else 0 end))::bigint
+                        / sum(case when 3 * source_size < level * weight then 0 else weight end)::bigint
+          from levels, sources where i < 40 group by i),
+        planned as (
+          select source, source_size::bigint as source_size, heavy::bigint as heavy, least(level * weight, (3 * source_size)::double) as target
+          from sources, (select max(level) as level from levels)),
+        wholes as (
+          select *, case when source_size > 0 then floor(target / source_size)::int else 0 end as whole from planned),
+        drawn as (
+          select d.doc_id, d.size, w.*, (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u,
+                 case when w.source_size > 0 then (target / source_size - whole) * (2048 + least(size, 2048)) * source_size / heavy end as p
+          from docs d join wholes w on d.source is not distinct from w.source),
+        ranked as (
+          select *, case when target - whole * source_size > 0 and size > 0 then u / (1 - u) * greatest(1 - p, 0.0) / p end as rank from drawn),
+        added as (
+          select *, rank is not null and coalesce(sum(size) over (partition by source, rank is null order by rank, doc_id nulls first
+                        rows between unbounded preceding and 1 preceding), 0)::double + size / 2.0 <= target - whole * source_size as more
+          from ranked)
+        select doc_id, size::bigint as size, source_size, target, (size * (whole + more::int))::bigint as taken from added""",
     "op9_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept, sha256(t) as text_sha256
