@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed words, word pairs and skip-grams.
 
-The features of a text are the distinct buckets of its words, of its adjacent words and of its words one apart. Learning
-runs over a bounded sample of labelled documents in one task: each coordinate has its own rate, which falls with the
+The features of a text are the distinct buckets of its words, of its adjacent words, of its words one apart and, so that
+forms of a word not seen in learning count too, of the words' stems of a few lengths. Learning runs over a bounded sample of labelled documents in one task: each coordinate has its own rate, which falls with the
 squares of its gradients, and L1 keeps coordinates at zero unless evidence adds up. What is left is a short table of
 weights that every task gets; scoring reads all documents and whole texts.
 """
@@ -22,8 +22,11 @@ BUCKETS = 1 << 20
 #: longest text, in characters, that is learnt from.
 SAMPLE_PER_CLASS = 8_192
 SAMPLE_CHARS = 65_536
-#: Learning: passes, rate, smoothing of rates, L1 and L2.
-PASSES, ALPHA, BETA, L1, L2 = 3, 0.1, 1.0, 2.0, 1.0
+#: Bytes of a word that make a stem.
+STEMS = (4, 5, 6)
+#: Learning: rate, smoothing of rates, L1 and L2; passes, and more of them over a small sample up to so many steps.
+ALPHA, BETA, L1, L2 = 0.6, 1.0, 8.0, 1.0
+PASSES, MOST_PASSES, STEPS = 3, 20, 30_000
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 
@@ -34,17 +37,19 @@ _PLAIN = bytes(ord(" ") if 33 <= b < 127 and not chr(b).isalnum() else b for b i
 def buckets_of(text: bytes | None) -> np.ndarray:
     """Buckets of a text's features, with repeats."""
     words = (text or b"").translate(_PLAIN).split()
-    h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.uint64)
+    crc = zlib.crc32
+    h = np.fromiter(map(crc, words), np.uint32, len(words)).astype(np.uint64)
+    stems = [np.fromiter([crc(w[:n], n) for w in words if len(w) > n], np.uint32).astype(np.uint64) + np.uint64(n << 32) for n in STEMS]
     pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(1)
     skips = h[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] + np.uint64(2)
-    mixed = np.concatenate((h, pairs, skips))
+    mixed = np.concatenate((h, pairs, skips, *stems))
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     return (mixed >> np.uint64(44)).astype(np.int64)
 
 
 def fit(texts: list[bytes], labels: list[float], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and weights that are not zero, after ``PASSES`` over the texts in the given order."""
+    """Places and weights that are not zero, after the passes over the texts in the given order."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     l1 = np.full(BUCKETS + 1, L1)
     l1[BUCKETS] = 0.0
@@ -54,7 +59,7 @@ def fit(texts: list[bytes], labels: list[float], weights: list[float]) -> tuple[
         zi, li = z[at], l1[at]
         return np.where(np.abs(zi) <= li, 0.0, -(zi - np.sign(zi) * li) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
-    for _ in range(PASSES):
+    for _ in range(max(PASSES, min(MOST_PASSES, STEPS // max(1, len(rows))))):
         for at, y, importance in zip(rows, labels, weights):
             w = weight(at)
             g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * importance
