@@ -29,10 +29,11 @@ def _names(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """An integer for each combination of ``keys`` that occurs more than once.
 
     Counting combines before the shuffle, so a frequent combination is one row per task. The number follows from the
-    sorted order inside its partition: a task that is run again gives the same one.
+    sorted order inside its partition: a task that is run again gives the same one. Names are settled before they are
+    joined, as adaptive execution splits the rows of a frequent key only where both sides are dealt out for the join.
     """
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return counted.drop("_n").sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id())
+    return settle(counted.drop("_n").sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()))[0]
 
 
 def _deep_names(docs: DataFrame) -> DataFrame:
@@ -91,6 +92,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -
 
     groups = rows.where(F.col("_name").isNotNull()).groupBy("_kind", "_name").agg(
         F.count(F.lit(1)).alias("_n"), F.max(F.struct("_id", "_row")).alias("_top"))
+    groups, _ = settle(groups)
     joined = rows.join(groups, ["_kind", "_name"], "left")
     copied = F.col("_n").isNotNull()
     return joined.select(
