@@ -32,6 +32,7 @@ def _larger(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours, hung on the smallest of its neighbours and itself."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("at"), F.least("a", "least").alias("least"))
+    least, _ = settle(least)  # so that the join deals out both sides and frequent keys can be split
     hung = links.join(least, links.a == least["at"])  # the larger neighbours of a are the b of its links
     return hung.select(F.col("least").alias("a"), "b").distinct()
 
@@ -39,6 +40,7 @@ def _larger(links: DataFrame) -> DataFrame:
 def _smaller(links: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and itself, hung on the smallest of them."""
     least = links.groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "at")
+    least, _ = settle(least)
     hung = links.join(least, links.b == least["at"]).select(F.col("least").alias("x"), F.col("a").alias("y"))
     own = least.select(F.col("least").alias("x"), F.col("at").alias("y"))
     return hung.unionByName(own).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

@@ -208,6 +208,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between the distinct longs ``fp``: all, or of a dense group as many as keep it together."""
     keyed = distinct.select("fp", F.explode(_keys("fp")).alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts, _ = settle(counts)  # so that the join deals out both sides and frequent keys can be split
     shared = keyed.join(counts, "key")
     shares = F.ceil(F.col("n") / SHARE)
     shared = shared.withColumn("shares", shares).withColumn("share", F.pmod(F.xxhash64("fp"), "shares"))
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     roots = components(links(smallest.select("fp")))
     classed = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     classed, _ = settle(classed)
-    least = classed.groupBy("root").agg(F.min("id").alias("component_id"))
+    least, _ = settle(classed.groupBy("root").agg(F.min("id").alias("component_id")))
     named = classed.select("fp", "root").join(least, "root").select("fp", "component_id")
     full = marked.join(named, "fp", "left")
     return full.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
