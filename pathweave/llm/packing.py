@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from pathweave.functions.rank import global_rank
 from pathweave.llm.tokens import memory
+from pathweave.llm.workers import reachable
 from pathweave.session import settle
 
 #: Tokens in a sequence, the id that ends a document, and the step to which patterns round lengths up.
@@ -65,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", with_ids: bool =
         return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(columns, names))
 
     kept = [c for c in docs.columns if c != text]
-    return docs.select(*kept, F.explode(cut(F.col(text))).alias("_piece")).select(*kept, "_piece.*")
+    return reachable(docs).select(*kept, F.explode(cut(F.col(text))).alias("_piece")).select(*kept, "_piece.*")
 
 
 # -- the plan, on the histogram ----------------------------------------------------------------------------------------
@@ -197,7 +198,7 @@ def pack(cut: DataFrame, order: list[str], length: int = LENGTH) -> DataFrame:
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `length` rows
     intervals, _ = plan(counts, length)
     ranked = global_rank(cut, [F.col("length").desc(), *order], "_at")
-    placed = ranked.withColumn("_to", _place(intervals)(F.col("_at"))).drop("_at")
+    placed = reachable(ranked).withColumn("_to", _place(intervals)(F.col("_at"))).drop("_at")
     # a sequence has at most `length` pieces
     earlier = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("sequence_id", F.col("_to.sequence")).withColumn("_slot", F.col("_to.slot")).drop("_to")

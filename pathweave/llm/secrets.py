@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from pathweave.llm.automata import Dfa
+from pathweave.llm.workers import reachable
 
 
 @dataclass(frozen=True)
@@ -107,7 +108,7 @@ def find_secrets(docs: DataFrame, text: str = "text", name: str = "secrets", rul
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64()), ("base", pa.int64())]))
         return pa.array(out, kind)
 
-    return docs.withColumn(name, scan(F.col(text)))
+    return reachable(docs).withColumn(name, scan(F.col(text)))
 
 
 def _joined(spans):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pathweave.llm.components import components
+from pathweave.llm.workers import reachable
 from pathweave.session import settle
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
@@ -62,7 +63,7 @@ def _fingerprint(texts: pa.Array) -> pa.Array:
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint as a long."""
-    return docs.withColumn(name, _fingerprint(F.col(text)))
+    return reachable(docs).withColumn(name, _fingerprint(F.col(text)))
 
 
 # -- comparison inside a task ------------------------------------------------------------------------------------------
@@ -216,7 +217,7 @@ def links(distinct: DataFrame) -> DataFrame:
     cells = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda o: F.struct(F.least("share", o).alias("x"), F.greatest("share", o).alias("y")))
     cells = shared.select("key", "fp", F.explode(cells).alias("cell"))
     groups = cells.groupBy("key", "cell").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return groups.select("fps").mapInArrow(_links_of, "a long, b long").distinct()
+    return reachable(groups).select("fps").mapInArrow(_links_of, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from pathweave.llm.workers import reachable
+
 #: Words in a window that counts as repeated when it comes twice.
 WINDOW = 8
 
@@ -58,4 +60,4 @@ def _stats(texts: pa.Array) -> pa.Array:
 
 def text_stats(docs: DataFrame, text: str = "text", name: str = "stats") -> DataFrame:
     """``docs`` with a structure of the counts of ``text``, a null one counting as empty."""
-    return docs.withColumn(name, _stats(F.col(text)))
+    return reachable(docs).withColumn(name, _stats(F.col(text)))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from pathweave.llm.workers import reachable
+
 #: Buckets of features; the place behind them is the intercept.
 BUCKETS = 1 << 20
 #: Labelled documents of each class that are learnt from at most, those with the smallest hash of their key, and the
@@ -103,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where(F.coalesce(F.length("t"), F.lit(0)) <= SAMPLE_CHARS)
     sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("k")).select("t", "y", "w", F.xxhash64("id", F.lit(1)).alias("o"))
     one = sample.repartition(1).sortWithinPartitions("o", "t").select("t", "y", "w")
-    rows = one.mapInArrow(_fit_task, "place long, weight double").collect()
+    rows = reachable(one).mapInArrow(_fit_task, "place long, weight double").collect()
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
 
 
@@ -123,7 +125,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "t
             out.append(dense[np.unique(at)].sum() + dense[BUCKETS] if len(places) else -np.inf)
         return pa.array(1 / (1 + np.exp(-np.array(out))), pa.float64())
 
-    return docs.withColumn(name, score(F.col(text)))
+    return reachable(docs).withColumn(name, score(F.col(text)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
