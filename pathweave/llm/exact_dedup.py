@@ -32,7 +32,7 @@ def _names(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     sorted order inside its partition: a task that is run again gives the same one. Names are settled before they are
     joined, as adaptive execution splits the rows of a frequent key only where both sides are dealt out for the join.
     """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    counted = rows.groupBy(*keys).agg(F.sum("_times").alias("_n")).where("_n > 1")
     return settle(counted.drop("_n").sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()))[0]
 
 
@@ -40,7 +40,8 @@ def _deep_names(docs: DataFrame) -> DataFrame:
     """``(_id, _sha, _name)`` of each distinct document of ``(_id, _text)``; no name: it has no copy."""
     cut = docs.select("_id", lower_ascii(F.col("_text")).alias("_text"))
     cut = cut.select("_id", F.unhex(F.sha2("_text", 256)).alias("_sha"), F.posexplode(_cut(F.col("_text"))).alias("_at", "_block"))
-    rows = cut.join(_names(cut, ["_block"], "_name"), "_block", "left").select("_id", "_sha", "_at", "_name")
+    cut = cut.withColumn("_times", F.lit(1))
+    rows = cut.join(_names(cut, ["_block"], "_name"), "_block", "left").select("_id", "_sha", "_at", "_times", "_name")
     rows, seen = settle(rows, last=F.max("_at"))
     while seen["last"]:
         side = F.when(F.col("_at") % 2 == 0, F.lit(0)).otherwise(1)
@@ -49,16 +50,15 @@ def _deep_names(docs: DataFrame) -> DataFrame:
             # a last block without a neighbour
             F.coalesce(F.max(F.when(side == 1, F.col("_name"))), F.lit(-1)).alias("_right"),
             F.bool_or(F.col("_name").isNull()).alias("_alone"),
+            # repeated rows of one document become one row that counts for them
+            F.sum(F.when(side == 0, F.col("_times"))).alias("_times"),
         )
         pairs, seen = settle(pairs, last=F.max("_at"))
         names = _names(pairs.where("not _alone"), ["_left", "_right"], "_name")
         # an unnamed part leaves no pair to look up
         left = F.when(~F.col("_alone"), F.col("_left")).alias("_left")
-        rows = pairs.select("_id", "_sha", "_at", left, "_right").join(names, ["_left", "_right"], "left")
-        rows = rows.select("_id", "_sha", "_at", "_name")
-        if not seen["last"]:
-            rows, _ = settle(rows)
-    # repeated rows of one document are one row here from the first pairs on; texts of one block are not cut at all
+        rows = pairs.select("_id", "_sha", "_at", "_times", left, "_right").join(names, ["_left", "_right"], "left")
+        rows = rows.select("_id", "_sha", "_at", "_times", "_name")
     return rows.select("_id", "_sha", "_name")
 
 
@@ -77,6 +77,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     slim, _ = settle(base.select(
         F.monotonically_increasing_id().alias("_row"), "_id", size.alias("_size"), head.alias("_head"),
         F.unhex(F.sha2(lower_ascii(F.col("_text")), 256)).alias("_sha")))
+    slim = slim.withColumn("_times", F.lit(1))
     named = slim.join(_names(slim, ["_size", "_head"], "_first"), ["_size", "_head"], "left")
     named, _ = settle(named.select("_row", "_id", "_size", "_sha", "_first"))
 
