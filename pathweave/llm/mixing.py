@@ -38,11 +38,12 @@ def _heaviness(size: str) -> Column:
 
 
 def _rank() -> Column:
-    """Odds of the random number over odds of inclusion; needs size, source_size, target, whole and heavy."""
+    """Odds of the random number over odds of inclusion, null where nothing is left to include; needs size,
+    source_size, target, whole and heavy."""
     u = _uniform(F.col("id"))
-    rest = F.col("target") / F.col("source_size") - F.col("whole")
-    p = rest * _heaviness("size") * F.col("source_size") / F.col("heavy")
-    return (u / (F.lit(1.0) - u)) * F.greatest(F.lit(1.0) - p, F.lit(0.0)) / p
+    rest = F.try_divide("target", "source_size") - F.col("whole")
+    p = F.try_divide(rest * _heaviness("size") * F.col("source_size"), F.col("heavy"))
+    return F.try_divide((u / (F.lit(1.0) - u)) * F.greatest(F.lit(1.0) - p, F.lit(0.0)), p)
 
 
 def targets(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -69,7 +70,7 @@ def targets(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 def plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per source of ``(id, source, size)``: its targets, the ``whole`` copies of each document, and ``cutoff``,
     the last ``(rank, id)`` that gets one more (null: none)."""
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int")
     sources, seen = settle(targets(slim, weights).withColumn("whole", whole))
     sources = small(sources, seen["rows"])
     lacking = sources.where(F.col("target") - F.col("whole") * F.col("source_size") > 0)
