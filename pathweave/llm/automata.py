@@ -62,6 +62,8 @@ class _Nfa:
     def _bytes(self, op, arg, fold: bool) -> int:
         if op is K.LITERAL:
             found = 1 << arg
+        elif op is K.NOT_LITERAL:
+            return _ALL & ~self._bytes(K.LITERAL, arg, fold)
         elif op is K.RANGE:
             found = sum(1 << b for b in range(arg[0], arg[1] + 1))
         elif op is K.IN:

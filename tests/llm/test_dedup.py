@@ -1,0 +1,133 @@
+import hashlib
+import random
+
+import xxhash
+
+from pathweave.llm import components, exact_dedup, simhash
+
+AWKWARD = [
+    (None, "x y z", "s", 1), (1, None, "s", 2), (2, "", "s", 3), (3, "   \n", None, 4), (4, "Same Text here", "s", 5),
+    (5, "same text HERE", "s", 6), (6, "SAME TEXT HÈRE", "s", 7), (7, "same text hère", "s", 8), (9, "dup", "s", 9), (9, "dup", "s", 9),
+    (10, "aB" * 50_000, "s", 10), (11, "Ab" * 50_000, "s", 11), (12, "ab" * 49_999 + "aC", "s", 12), (13, "x Y z", "s", 13),
+]
+SCHEMA = "doc_id long, text string, keep_id string, size long"
+
+
+def lower(text):
+    return (text or "").translate({c: c + 32 for c in range(65, 91)})
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_exact_equals_grouping(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("ab\n") for _ in range(rng.choice((3, 256, 257, 512, 700)))) , None, 0) for i in range(100, 160)]
+    rows += [(i + 100, r[1].upper(), None, 0) for i, r in enumerate(rows[:30])]
+    rows += [(300, "a" * 600, None, 0), (301, "a" * 256 + "b" + "a" * 343, None, 0), (302, "a" * 600, None, 0)] + AWKWARD
+    got = exact_dedup.exact_duplicates(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    groups = {}
+    for r in rows:
+        groups.setdefault(lower(r[1]), []).append(r[0])
+    want = sorted((str(r[0]), str(max((x for x in groups[lower(r[1])] if x is not None), default=None)), len(groups[lower(r[1])]),
+                   hashlib.sha256(lower(r[1]).encode()).hexdigest()) for r in rows)
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == want
+    assert sum(r["kept"] for r in got) == len(groups)
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+
+
+def test_dropping_keeps_one_row_of_each_text(spark):
+    docs = table(spark, AWKWARD)
+    left = exact_dedup.drop_exact_duplicates(docs)
+    assert left.columns == docs.columns
+    texts = [lower(r["text"]) for r in left.collect()]
+    assert sorted(texts) == sorted({lower(r[1]) for r in AWKWARD})
+    assert exact_dedup.drop_exact_duplicates(docs.limit(0)).count() == 0
+    assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
+
+
+def plain_fingerprint(text):
+    words = lower(text).encode().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def plain_classes(fps, ids):
+    """Component ids of rows by comparing all distinct fingerprints."""
+    distinct = sorted(set(fps))
+    up = {x: x for x in distinct}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if (a ^ b).bit_count() <= 3:
+                up[root(a)] = root(b)
+    least = {}
+    for f, i in zip(fps, ids):
+        if i is not None:
+            least[root(f)] = min(i, least.get(root(f), i))
+    return [least.get(root(f)) for f in fps]
+
+
+def test_near_equals_brute_force(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    rows = [r[:2] for r in AWKWARD]
+    for g in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice((5, 60, 400)))]
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((100 + len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("text", "text")
+    got = simhash.near_duplicates(docs).collect()
+    fps = [plain_fingerprint(r[1]) for r in rows]
+    want = plain_classes(fps, [r[0] for r in rows])
+    assert len(set(want)) < len(set(fps))  # there are links between different fingerprints
+    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == sorted(
+        (str(r[0]), f"{f:016x}", str(c)) for r, f, c in zip(rows, fps, want))
+    left = simhash.drop_near_duplicates(docs)
+    assert left.select("doc_id").distinct().count() == len(set(want))
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_links_lose_none_and_shares_agree(spark, monkeypatch):
+    rng = random.Random(11)
+    values = set()
+    for _ in range(6):
+        centre = rng.getrandbits(64)
+        for _ in range(60):
+            x = centre
+            for i in rng.sample(range(64), rng.randint(0, 5)):
+                x ^= 1 << i
+            values.add(x)
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in values]
+    fps = spark.createDataFrame(signed, "fp long")
+    order = sorted(values)
+    want = plain_classes(order, order)
+    for share in (simhash.SHARE, 7):  # one cell, and a crowded key cut into many
+        monkeypatch.setattr(simhash, "SHARE", share)
+        found = {r["node"]: r["root"] for r in components.components(simhash.links(fps)).collect()}
+        classes = {}
+        for x, c in zip(order, want):
+            s = x - (1 << 64) if x >> 63 else x
+            classes.setdefault(c, set()).add(found.get(s, s))
+        assert all(len(c) == 1 for c in classes.values())
+        assert len({next(iter(c)) for c in classes.values()}) == len(classes)
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    chain = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
