@@ -8,8 +8,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.session import BROADCAST_ROWS
-
 START = 1
 Label = int | str
 
@@ -29,8 +27,6 @@ class Automaton:
         object.__setattr__(self, "transitions", tuple(dict.fromkeys(self.transitions)))
         if self.final is None:
             object.__setattr__(self, "final", self.n_states)
-        if len(self.transitions) > BROADCAST_ROWS:
-            raise ValueError("automaton too large to hold on the driver")
         states = {s for q, _, t in self.transitions for s in (q, t)} | {self.final}
         if states and not all(1 <= s <= self.n_states for s in states):
             raise ValueError(f"states must lie in 1..{self.n_states}: {sorted(states)}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,19 +28,24 @@ def fragment_sizes(fragment: DataFrame) -> DataFrame:
 
 
 def with_parts(edges: DataFrame, fragment: DataFrame) -> DataFrame:
-    """Edges with ``src_part`` and ``dst_part``.
+    """Edges with ``src_part`` and ``dst_part``, null for an end that no fragment holds.
 
     Plain equi-joins: hub ends make skewed keys of the edge side, which adaptive execution splits.
     """
     for end in ("src", "dst"):
         part = fragment.select(F.col("node").alias(end), F.col("part").alias(f"{end}_part"))
-        edges = edges.join(part, end)
+        edges = edges.join(part, end, "left")
     return edges
 
 
+def _local() -> Column:
+    """Both ends in one fragment; an end outside all fragments is local to none."""
+    return F.coalesce(F.col("src_part") == F.col("dst_part"), F.lit(False))
+
+
 def cross_edges(edges: DataFrame, fragment: DataFrame) -> DataFrame:
     """Edges whose ends lie in different fragments."""
-    crossing = with_parts(edges, fragment).where("src_part <> dst_part")
+    crossing = with_parts(edges, fragment).where(~_local())
     return crossing.select(*edges.columns)
 
 
@@ -53,7 +58,7 @@ def boundary_nodes(edges: DataFrame, fragment: DataFrame) -> DataFrame:
 def boundary_by_histogram(edges: DataFrame, fragment: DataFrame) -> DataFrame:
     """Nodes with fewer in-neighbours in their own fragment than in-neighbours; equals ``boundary_nodes``."""
     neighbours = with_parts(edges.select("src", "dst").distinct(), fragment)
-    own = F.count_if(F.col("src_part") == F.col("dst_part"))
+    own = F.count_if(_local())
     counts = neighbours.groupBy(F.col("dst").alias("node")).agg(own.alias("own"), F.count(F.lit(1)).alias("degree"))
     return counts.where("own <> degree").select("node")
 
@@ -61,7 +66,7 @@ def boundary_by_histogram(edges: DataFrame, fragment: DataFrame) -> DataFrame:
 def locality_flags(edges: DataFrame, fragment: DataFrame) -> DataFrame:
     """Per edge: does it stay in its fragment?"""
     flagged = with_parts(edges, fragment)
-    return flagged.select(*edges.columns, (F.col("src_part") == F.col("dst_part")).alias("local"))
+    return flagged.select(*edges.columns, _local().alias("local"))
 
 
 def boundary_flags(adjacency: DataFrame, boundary: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.functions.rank import global_rank
-from pathweave.session import settle
+from pathweave.session import settle, small
 
 
 # Destinations one packed row may hold.
@@ -14,7 +14,8 @@ LONGEST_LIST = 1_000_000
 
 
 def pack(edges: DataFrame, longest: int = LONGEST_LIST) -> DataFrame:
-    """One row per ``(src, label)`` with its destinations, sorted; hubs with more than ``longest`` take several rows."""
+    """One row per ``(src, label, piece)`` with its destinations, sorted. The key's piece ``i`` holds the destinations
+    from the ``i * longest``-th on, so only hubs have others than piece 0."""
     return _packed(edges, F.col("dst"), longest)
 
 
@@ -26,10 +27,17 @@ def pack_flagged(flagged: DataFrame, longest: int = LONGEST_LIST) -> DataFrame:
 def _packed(edges: DataFrame, item: Column, longest: int) -> DataFrame:
     key = ["src", "label"]
     # at most one key per `longest` edges, found by counts that combine before the shuffle
-    long = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > longest)
-    share = F.pmod(F.xxhash64("dst"), F.ceil(F.coalesce("_n", F.lit(1)) / longest))
-    lists = edges.join(long, key, "left").groupBy(*key, share.alias("_share"))
-    return lists.agg(F.sort_array(F.collect_set(item)).alias("dsts")).drop("_share")
+    long = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > longest).select(*key)
+    long, seen = settle(long)
+    pieces = edges.join(small(long, seen["rows"]), key, "left_anti").withColumn("piece", F.lit(0))
+    if seen["rows"]:
+        # only such keys are put in order
+        ranked = global_rank(edges.distinct().join(small(long, seen["rows"]), key, "left_semi"), [*key, "dst"], "_at")
+        first = ranked.groupBy(*key).agg(F.min("_at").alias("_first"))
+        piece = F.floor((F.col("_at") - F.col("_first")) / longest).cast("int")
+        ranked = ranked.join(small(first, seen["rows"]), key).withColumn("piece", piece)
+        pieces = pieces.unionByName(ranked.drop("_at", "_first"))
+    return pieces.groupBy(*key, "piece").agg(F.sort_array(F.collect_set(item)).alias("dsts"))
 
 
 def unpack(adjacency: DataFrame) -> DataFrame:
@@ -79,12 +87,12 @@ def undirected_lines(edges: DataFrame, n_nodes: int, longest: int = LONGEST_LIST
 
 
 def write_undirected_lines(edges: DataFrame, n_nodes: int, path: str, longest: int = LONGEST_LIST) -> None:
-    """One text line per node in node order. The format wants a node's neighbours on one line, and a text sink writes a
-    line from one row; a node with more than ``longest`` neighbours is refused, as a larger ``longest`` may be given."""
-    lines, seen = settle(undirected_lines(edges, n_nodes, longest), pieces=F.max("piece"))
-    if seen["pieces"]:
-        raise ValueError(f"a node has more than {longest} neighbours")
-    lines.orderBy("node").select("line").write.text(path)
+    """One text line per node in node order, neighbours parted by blanks. A blank ends every written piece and a new line
+    begins every node but the first, so a hub's line is written from as many rows as it has pieces."""
+    lines, _ = settle(undirected_lines(edges, n_nodes, longest))
+    begins = (F.col("piece") == 0) & (F.col("node") > 1)
+    text = F.concat(F.when(begins, "\n").otherwise(""), F.col("line"))
+    lines.orderBy("node", "piece").select(text.alias("value")).write.text(path, lineSep=" ")
 
 
 def last_write_wins(edges: DataFrame, sequence: list[str]) -> DataFrame:

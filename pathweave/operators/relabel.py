@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.functions.rank import global_rank
-from pathweave.session import settle
+from pathweave.session import settle, small
 
 
 def idmap_storage_order(fragment: DataFrame) -> DataFrame:
@@ -24,10 +24,10 @@ def idmap_by_partition(groups: DataFrame, fragment: DataFrame) -> DataFrame:
 
 
 def idmap_by_group_size(groups: DataFrame, fragment: DataFrame) -> DataFrame:
-    """Groups matched to a fragment of equal size and zipped inside. Of groups of one size the last one counts, and
-    likewise of fragments; groups without a fragment of their size are left out."""
-    old, new = _last_of_size(groups), _last_of_size(fragment)
-    pairs = old.withColumnRenamed("node", "old_id").join(new.withColumnRenamed("node", "new_id"), ["size", "at"])
+    """Groups matched to fragments of equal size, in order where several have one size, and zipped inside. A group
+    without a fragment of its size has no new ids."""
+    old, new = _members(groups), _members(fragment)
+    pairs = old.withColumnRenamed("node", "old_id").join(new.withColumnRenamed("node", "new_id"), ["size", "number", "at"])
     return pairs.select("old_id", "new_id")
 
 
@@ -36,16 +36,23 @@ def _sizes(groups: DataFrame) -> DataFrame:
 
 
 def _by_size(groups: DataFrame) -> DataFrame:
-    return global_rank(groups.join(_sizes(groups), "part"), ["size", "part", "node"], "at").select("node", "at")
+    sizes, seen = settle(_sizes(groups))
+    return global_rank(groups.join(small(sizes, seen["rows"]), "part"), ["size", "part", "node"], "at").select("node", "at")
 
 
-def _last_of_size(groups: DataFrame) -> DataFrame:
-    """Nodes with their position inside their group. A group may be a third of all nodes, so positions come from a
-    global rank less the group's first one, not from a window over the group."""
-    kept = _sizes(groups).groupBy("size").agg(F.max("part").alias("part"))
-    ranked = global_rank(groups.join(kept, "part"), ["size", "node"], "_at")
-    first = ranked.groupBy("size").agg(F.min("_at").alias("_first"))
-    return ranked.join(first, "size").select("node", "size", (F.col("_at") - F.col("_first")).alias("at"))
+def _members(groups: DataFrame) -> DataFrame:
+    """``(node, size, number, at)``: nodes with their group's size, its number among groups of that size, and their
+    position in it. A group may be a third of all nodes, so positions come from global ranks less first ones, not from
+    windows, and the table of groups is settled, which lets the joins broadcast it or split a group's nodes."""
+    sizes, seen = settle(_sizes(groups))
+    ranked = global_rank(groups.join(small(sizes, seen["rows"]), "part"), ["size", "part", "node"], "_at")
+    firsts = ranked.groupBy("size", "part").agg(F.min("_at").alias("_first"))
+    numbered = global_rank(firsts, ["size", "part"], "_number")
+    lowest = numbered.groupBy("size").agg(F.min("_number").alias("_lowest"))
+    numbered = numbered.join(lowest, "size").select("part", "_first", (F.col("_number") - F.col("_lowest")).alias("number"))
+    numbered, _ = settle(numbered)
+    placed = ranked.join(small(numbered, seen["rows"]), "part")
+    return placed.select("node", "size", "number", (F.col("_at") - F.col("_first")).alias("at"))
 
 
 def _zip(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -57,7 +64,5 @@ def relabel_edges(edges: DataFrame, idmap: DataFrame) -> DataFrame:
     for end, name in (("src", "_src"), ("dst", "_dst")):
         new = idmap.select(F.col("old_id").alias(end), F.col("new_id").alias(name))
         edges = edges.join(new, end, "left")
-    mapped, seen = settle(edges, unmapped=F.count_if(F.col("_src").isNull()))
-    if seen["unmapped"]:
-        raise ValueError(f"{seen['unmapped']} edges leave a node without a new id")
-    return mapped.select(F.col("_src").alias("src"), "label", F.coalesce("_dst", "dst").alias("dst"))
+    unmapped = F.raise_error(F.concat(F.lit("an edge leaves a node without a new id: "), F.col("src").cast("string"))).cast("bigint")
+    return edges.select(F.coalesce("_src", unmapped).alias("src"), "label", F.coalesce("_dst", "dst").alias("dst"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pathweave.operators.fragments import node_set
 
 
+# Levels that one step from blocks to ids takes.
+STEP_BITS = 10
+
+
 def signature_build(edges: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """``(level, block, label)`` for ``levels``, by default 0 to the whole logarithm of the number of nodes.
 
@@ -26,8 +30,16 @@ def signature_build(edges: DataFrame, levels: list[int] | None = None) -> DataFr
 
 
 def signature_lookup(signatures: DataFrame, level: int, groups: list[list]) -> DataFrame:
-    """Blocks of ``level`` with at least one label of every group (groups of one label each ask for all labels)."""
-    wanted = signatures.where((F.col("level") == level) & F.col("label").isin(sorted({x for g in groups for x in g})))
+    """Blocks of ``level`` with at least one label of every group (groups of one label each ask for all labels).
+
+    A level that the index lacks is put together from the coarsest finer one it has; without any, nothing could be
+    told from the index, which is an error.
+    """
+    found = signatures.where(F.col("level") <= level).agg(F.max("level")).first()[0]
+    if found is None:
+        raise ValueError(f"the index has no level up to {level}")
+    wanted = signatures.where((F.col("level") == found) & F.col("label").isin(sorted({x for g in groups for x in g})))
+    wanted = wanted.withColumn("block", F.shiftright("block", level - found))
     has = [F.bool_or(F.col("label").isin(g)).alias(f"g{i}") for i, g in enumerate(groups)]
     found = wanted.groupBy("block").agg(*has)
     for i in range(len(groups)):
@@ -36,10 +48,17 @@ def signature_lookup(signatures: DataFrame, level: int, groups: list[list]) -> D
 
 
 def block_ids(blocks: DataFrame, level: int) -> DataFrame:
-    """Node ids of the blocks: ``block << level`` up to the next block."""
-    first = F.shiftleft("block", level)
-    last = F.shiftleft(F.col("block") + 1, level) - 1
-    return blocks.select(F.explode(F.sequence(first, last)).alias("node"))
+    """Node ids of the blocks: ``block << level`` up to the next block, written out ``STEP_BITS`` levels at a time, so
+    that no row lists more than ``2^STEP_BITS`` ids and large blocks are dealt out between steps."""
+    ids = blocks.select(F.col("block").alias("node"))
+    while level:
+        bits = min(level, STEP_BITS)
+        below = F.shiftleft("node", bits)
+        ids = ids.select(F.explode(F.sequence(below, below + ((1 << bits) - 1))).alias("node"))
+        level -= bits
+        if level:
+            ids = ids.repartition("node")
+    return ids
 
 
 def in_blocks(edges: DataFrame, blocks: DataFrame, level: int) -> DataFrame:

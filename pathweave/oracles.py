@@ -18,9 +18,11 @@ e as (select src, 1 as label, d1 as dst from o where d1 is not null
 NODES = "n as (select src as node from e union select dst from e)"
 THIRDS = NODES + ", f as (select node, cast(node % 3 as int) as part from n)"
 YEARS = "f as (select o_orderkey as node, cast(year(o_orderdate) as int) as part from orders)"
-CROSS = """x as (select e.src, e.label, e.dst from e join f fs on fs.node = e.src join f fd on fd.node = e.dst
-              where fs.part <> fd.part),
+CROSS = """x as (select e.src, e.label, e.dst from e left join f fs on fs.node = e.src left join f fd on fd.node = e.dst
+              where coalesce(fs.part <> fd.part, true)),
 b as (select distinct dst as node from x)"""
+PIECES = """w as (select src, label, dst,
+  cast((row_number() over (partition by src, label order by dst) - 1) // 1000000 as int) as piece from e)"""
 TOTAL = "(select greatest(max(src), max(dst)) + 1 from e)"
 
 R2 = "(1,5,2),(2,6,2),(2,7,3)"
@@ -75,10 +77,11 @@ def _ranked(name: str, table: str) -> str:
   from (select node, part, count(*) over (partition by part) as size from {table}))"""
 
 
-def _last_of_size(name: str, table: str) -> str:
+def _members(name: str, table: str) -> str:
     return f"""{name}s as (select part, count(*) as size from {table} group by part),
-{name} as (select t.node, s.size, row_number() over (partition by s.size order by t.node) as pos
-  from {table} t join (select size, max(part) as part from {name}s group by size) s on s.part = t.part)"""
+{name}n as (select part, size, row_number() over (partition by size order by part) as number from {name}s),
+{name} as (select t.node, s.size, s.number, row_number() over (partition by t.part order by t.node) as pos
+  from {table} t join {name}n s on s.part = t.part)"""
 
 
 SIGNATURES = f"""{NODES}, lv as (select unnest(range(0, cast(floor(log2((select count(*) from n))) as int) + 1)) as level),
@@ -112,7 +115,8 @@ ORACLES = {
     "layered_edges_union": f"with {CHAIN} select distinct src, cast(least(5, (label - 1) // 10 + 1) as int) as label, dst from e",
     "automaton_load": f"with {CHAIN} select cast(src + 1 as int) as q, label, cast(dst + 1 as int) as t from e",
     "start_node_load": f"with {CHAIN} select min(src) as node from e where label = 5",
-    "adjacency_pack": f"with {CHAIN} select src, label, string_agg(cast(dst as varchar), ':' order by dst) as dsts from e group by src, label",
+    "adjacency_pack": f"""with {CHAIN}, {PIECES}
+select src, label, piece, string_agg(cast(dst as varchar), ':' order by dst) as dsts from w group by src, label, piece""",
     "adjacency_unpack": f"with {CHAIN} select src, label, dst from e",
     "adjacency_unpack_text": f"with {ORDERS} select src, label, dst from e",
     "sink_nodes": f"with {ORDERS}, i as (select unnest(range(0, {TOTAL})) as node) select node from i where node not in (select src from e)",
@@ -173,11 +177,12 @@ select unnest(range(block * 4, block * 4 + 4)) as node from k""",
     "cross_edges": f"with {CHAIN}, {THIRDS}, {CROSS} select src, label, dst from x",
     "boundary_nodes": f"with {ORDERS}, {YEARS}, {CROSS} select node from b",
     "locality_flags": f"with {CHAIN} select src, label, dst, src % 3 = dst % 3 as local from e",
-    "locality_flags_packed": f"""with {ORDERS}, {YEARS}
-select e.src, e.label, string_agg(e.dst || case when fs.part = fd.part then '-1' else '-0' end, ':' order by e.dst) as dsts
-from e join f fs on fs.node = e.src join f fd on fd.node = e.dst group by e.src, e.label""",
-    "boundary_flags": f"""with {ORDERS}, {YEARS}, {CROSS} select src, label, string_agg(cast(dst as varchar), ':' order by dst) as dsts,
-src in (select node from b) as boundary from e group by src, label""",
+    "locality_flags_packed": f"""with {ORDERS}, {YEARS}, {PIECES}
+select w.src, w.label, w.piece, string_agg(w.dst || case when fs.part = fd.part then '-1' else '-0' end, ':' order by w.dst) as dsts
+from w left join f fs on fs.node = w.src left join f fd on fd.node = w.dst group by w.src, w.label, w.piece""",
+    "boundary_flags": f"""with {ORDERS}, {YEARS}, {CROSS}, {PIECES}
+select src, label, piece, string_agg(cast(dst as varchar), ':' order by dst) as dsts,
+src in (select node from b) as boundary from w group by src, label, piece""",
     "boundary_by_histogram": f"with {ORDERS}, {YEARS}, {CROSS} select node from b",
     "idmap_storage_order": f"""with {CHAIN}, {THIRDS}, l as (select node, row_number() over (order by node) as pos from n),
 r as (select node, row_number() over (order by part, node) as pos from f)
@@ -185,9 +190,9 @@ select l.node as old_id, r.node as new_id from l join r on r.pos = l.pos""",
     "idmap_by_partition_file": f"""with {CHAIN}, {THIRDS}, h as (select node, cast((node >> 3) % 3 as int) as part from n),
 {_ranked('l', 'h')}, {_ranked('r', 'f')}
 select l.node as old_id, r.node as new_id from l join r on r.pos = l.pos""",
-    "idmap_by_group_size": f"""with {CHAIN}, {COLOURS}, f as (select node, cast(node % 3 as int) as part from n),
-h as (select node, colour as part from c), {_last_of_size('l', 'h')}, {_last_of_size('r', 'f')}
-select l.node as old_id, r.node as new_id from l join r on r.size = l.size and r.pos = l.pos""",
+    "idmap_by_group_size": f"""with {CHAIN}, {THIRDS}, h as (select node, cast((node + 1) % 3 as int) as part from n),
+{_members('l', 'h')}, {_members('r', 'f')}
+select l.node as old_id, r.node as new_id from l join r on r.size = l.size and r.number = l.number and r.pos = l.pos""",
     "relabel_edges": f"""with {CHAIN}, {THIRDS}, l as (select node, row_number() over (order by node) as pos from n),
 r as (select node, row_number() over (order by part, node) as pos from f),
 m as (select l.node as old_id, r.node as new_id from l join r on r.pos = l.pos)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +9,27 @@ from pathweave.functions.automaton import START, Automaton
 from pathweave.operators.signatures import in_blocks, signature_lookup
 from pathweave.operators.steps import label_scan, product_edges
 from pathweave.plans.fixpoint import fixpoint
-from pathweave.plans.rpq import ProductGraph, rpq
+from pathweave.plans.rpq import ProductGraph, rpq, started_from
+from pathweave.session import settle
 
 STATE = ["origin", "node", "q", "lastq"]
 
 
 def crpq_merge(edges: DataFrame, automata: list[Automaton]) -> DataFrame:
-    """Pairs that answer every query, each evaluated by itself."""
-    return reduce(DataFrame.intersect, [rpq(edges, a) for a in automata])
+    """Pairs that answer every query. Each query starts only from origins that the ones before have left."""
+    counted = [(_start_edges(edges, a), i) for i, a in enumerate(automata)]
+    found = None
+    for _, i in sorted(counted):  # the one with the fewest first edges prunes most for the least
+        starts = None if found is None else found.select(F.col("origin").alias("node")).distinct()
+        pairs = rpq(edges, automata[i], starts)
+        found, seen = settle(pairs if found is None else pairs.join(found, ["origin", "node"], "left_semi"))
+        if not seen["rows"]:
+            break
+    return found
+
+
+def _start_edges(edges: DataFrame, automaton: Automaton) -> int:
+    return label_scan(edges, automaton.labels_from({START})).count()
 
 
 def start_label_division(edges: DataFrame, labels: list) -> DataFrame:
@@ -52,7 +63,7 @@ def crpq_support(
     product = ProductGraph(product_edges(edges, automaton))
     begins = product.moves.where(F.col("q") == START)
     if index is None:
-        begins = begins.join(start_branch_division(edges, automaton), "src", "left_semi")
+        begins = started_from(begins, start_branch_division(edges, automaton).withColumnRenamed("src", "node"), "src")
     else:
         begins = in_blocks(begins, signature_lookup(index, level, groups), level)
     seed = begins.select(

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from pathweave.functions.automaton import START, Automaton
 from pathweave.functions.keyed import Keyed
 from pathweave.operators.fragments import boundary_nodes
-from pathweave.operators.steps import key_lookup, label_scan, product_edges, product_start
+from pathweave.operators.steps import label_scan, product_edges, product_start
 from pathweave.plans.fixpoint import Visited, fixpoint
-from pathweave.session import BROADCAST_ROWS, loop_settings, parts_for
+from pathweave.session import BROADCAST_ROWS, loop_settings, parts_for, settle, small
 
 PAIR_STATE = ["origin", "node", "q"]
+# Parts into which the rows of one origin are cut when many starts are looked up.
+SALTS = 16
 
 
 class ProductGraph:
@@ -59,7 +61,7 @@ def rpq(
     product = ProductGraph(product_edges(edges, automaton))
     seed = product_start(product.moves)
     if starts is not None:
-        seed = seed.join(starts.select(F.col("node").alias("origin")), "origin", "left_semi")
+        seed = started_from(seed, starts, "origin")
     visited = fixpoint(
         product.spark,
         seed,
@@ -110,7 +112,7 @@ def fragment_matches(
     product = ProductGraph(moves)
     begins = product.moves.where((F.col("q") == START) | F.col("src_stop"))
     if starts is not None:
-        from_start = begins.join(starts.select(F.col("node").alias("src")), "src", "left_semi")
+        from_start = started_from(begins, starts, "src")
         begins = begins.where("src_stop").unionByName(from_start.where(~F.col("src_stop")))
     seed = begins.select(
         F.col("q").alias("q_from"), F.col("src").alias("u"), F.col("dst").alias("node"), F.col("t").alias("q"),
@@ -152,7 +154,7 @@ def compose(
     )
     seed = product_start(product.moves)
     if starts is not None:
-        seed = seed.join(starts.select(F.col("node").alias("origin")), "origin", "left_semi")
+        seed = started_from(seed, starts, "origin")
     visited = fixpoint(
         product.spark,
         seed,
@@ -168,10 +170,10 @@ def compose(
 
 def _lookup(edges: DataFrame, automaton: Automaton, starts: DataFrame | None, max_rounds: int | None) -> Visited:
     spark = edges.sparkSession
-    steps = F.broadcast(automaton.to_df(spark))
+    steps = small(automaton.to_df(spark), len(automaton.transitions))
     first = label_scan(edges, automaton.labels_from({START}))
     if starts is not None:
-        first = key_lookup(starts, first)
+        first = started_from(first, starts, "src")
     seed = product_start(first.join(steps.where(F.col("q") == START), "label").select("src", "q", "dst", "t"))
     stored: list[ProductGraph] = []
 
@@ -180,9 +182,9 @@ def _lookup(edges: DataFrame, automaton: Automaton, starts: DataFrame | None, ma
             if not stored:
                 stored.append(ProductGraph(product_edges(edges, automaton)))
             return _pairs(stored[0].step(_leaving(frontier, automaton, tags), rows), "origin")
-        wanted = frontier.join(steps, "q").withColumnRenamed("node", "src").drop("q")
-        read = label_scan(edges, automaton.labels_from(tags))
-        return _pairs(read.join(F.broadcast(wanted), ["src", "label"]), "origin")
+        # the broadcast is of the frontier as counted, at most BROADCAST_ROWS rows; transitions multiply it afterwards
+        read = label_scan(edges, automaton.labels_from(tags)).join(steps, "label")
+        return _pairs(read.join(F.broadcast(frontier.withColumnRenamed("node", "src")), ["src", "q"]), "origin")
 
     return fixpoint(
         spark,
@@ -196,6 +198,18 @@ def _lookup(edges: DataFrame, automaton: Automaton, starts: DataFrame | None, ma
     )
 
 
+def started_from(rows: DataFrame, starts: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is one of ``starts``: by broadcast where the starts, counted, are few, so that the rows of
+    one origin stay spread as they are; else by a join whose start side is repeated over salts and whose rows are dealt
+    out by origin and salt, so that a hub isn't one task."""
+    keys, seen = settle(starts.select(F.col("node").alias(column)).distinct())
+    if seen["rows"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), column, "left_semi")
+    salted = keys.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(salted, [column, "_salt"], "left_semi").drop("_salt")
+
+
 def _leaving(frontier: DataFrame, automaton: Automaton, tags: frozenset) -> DataFrame:
     """Frontier rows in a state that some transition leaves."""
     alive = {q for q, _, _ in automaton.transitions} & tags

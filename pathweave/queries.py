@@ -44,6 +44,11 @@ def _thirds(edges: DataFrame) -> DataFrame:
     return fragments.fragment_assign(fragments.node_set(edges), PARTS)
 
 
+def _ranges(edges: DataFrame) -> DataFrame:
+    """Fragments of near ids."""
+    return fragments.fragment_ranges(fragments.node_set(edges), PARTS, _n_nodes(edges))
+
+
 def _colours(edges: DataFrame) -> DataFrame:
     return _thirds(edges).withColumnRenamed("part", "colour")
 
@@ -54,8 +59,16 @@ def _years(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _groups(edges: DataFrame) -> DataFrame:
-    """An outside partition: blocks of seven ids dealt out in turn."""
-    return fragments.node_set(edges).select("node", F.pmod(F.shiftright("node", 3), F.lit(PARTS)).cast("int").alias("part"))
+    """An outside partition, blocks of eight ids dealt out in turn, read from its file of one group number per node."""
+    path = scratch_path(edges.sparkSession, "groups")
+    nodes = fragments.node_set(edges)
+    text.write_numbered_lines(nodes.select("node", F.pmod(F.shiftright("node", 3), F.lit(PARTS)).cast("int").alias("part")), path, "part")
+    return text.read_numbered_lines(edges.sparkSession, path, "part")
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    """Thirds by the next id, whose sizes are those of ``_thirds`` in another order."""
+    return fragments.node_set(edges).select("node", F.pmod(F.col("node") + 1, F.lit(PARTS)).cast("int").alias("part"))
 
 
 def _start(spark: SparkSession) -> DataFrame:
@@ -186,12 +199,12 @@ def compose_matches(spark, folder):
 
 def rpq_partial_eval(spark, folder):
     edges = _chain(spark, folder)
-    return rpq.rpq(edges, R2, strategy="fragments", fragment=_thirds(edges))
+    return rpq.rpq(edges, R2, strategy="fragments", fragment=_ranges(edges))
 
 
 def rpq_partial_eval_from_node(spark, folder):
     edges = _handoff(spark, folder)
-    return rpq.rpq(edges, R3, _start(spark), "fragments", _thirds(edges))
+    return rpq.rpq(edges, R3, _start(spark), "fragments", _ranges(edges))
 
 
 # --- conjunctions and signatures
@@ -307,7 +320,7 @@ QUERIES = {
     "boundary_by_histogram": lambda s, d: fragments.boundary_by_histogram(_orders(s, d), _years(s, d)),
     "idmap_storage_order": lambda s, d: relabel.idmap_storage_order(_thirds(_chain(s, d))),
     "idmap_by_partition_file": lambda s, d: relabel.idmap_by_partition(_groups(_chain(s, d)), _thirds(_chain(s, d))),
-    "idmap_by_group_size": lambda s, d: relabel.idmap_by_group_size(_colouring(s, d).withColumnRenamed("colour", "part"), _thirds(_chain(s, d))),
+    "idmap_by_group_size": lambda s, d: relabel.idmap_by_group_size(_turned(_chain(s, d)), _thirds(_chain(s, d))),
     "relabel_edges": relabel_edges,
     "colour_init": _colouring,
     "swap_gain_edge": lambda s, d: gains.swap_gain_edge(_chain(s, d), _colours(_chain(s, d)), PARTS),

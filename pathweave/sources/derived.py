@@ -54,12 +54,20 @@ def order_follow(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _GRAPHS = {"part_chain": part_chain, "handoff": handoff, "order_follow": order_follow}
-_stored: dict[tuple[str, str, str], str] = {}
+_TABLES = {"part_chain": "lineitem", "handoff": "events", "order_follow": "orders"}
+_stored: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Number, newest change and size of a table's files, from a listing: contents aren't read."""
+    files = spark.read.format("binaryFile").load(path)
+    return tuple(files.agg(F.count(F.lit(1)), F.max("modificationTime"), F.sum("length")).first())
 
 
 def graph(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The edges of a derived graph from its parquet store, which is written at first use in an application."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    """The edges of a derived graph from its parquet store, which is written at first use in an application and again
+    when a file of its table has changed."""
+    key = (spark.sparkContext.applicationId, folder, name, _state(spark, f"{folder}/{_TABLES[name]}.parquet"))
     if key not in _stored:
         path = scratch_path(spark, name)
         store_edges(_GRAPHS[name](spark, folder), path)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathweave.functions.automaton import Automaton
-from pathweave.session import BROADCAST_ROWS
+from pathweave.session import settle, small
 
 EDGE_COLUMNS = {"sdl": ["src", "dst", "label"], "sld": ["src", "label", "dst"]}
 
@@ -71,15 +71,25 @@ def read_start_node(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_automaton(spark: SparkSession, path: str, label_type: str = "int") -> Automaton:
-    """A query automaton, which is small by nature; more than ``BROADCAST_ROWS`` transitions are refused."""
-    steps = read_transitions(spark, path, label_type).take(BROADCAST_ROWS + 1)
+    """A query automaton: part of the question, and held by the driver like it. Joins broadcast it only if it is small."""
+    steps = read_transitions(spark, path, label_type).collect()
     return Automaton(tuple(sorted((s["q"], s["label"], s["t"]) for s in steps)), read_n_states(spark, path))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their position in the file, ``(node, line)`` from 0. Only the text API keeps the order of a file."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda row: (row[1], row[0]))
-    return spark.createDataFrame(lines, "node bigint, line string")
+    """Lines with their position in the file, ``(node, line)`` from 0; files of a folder follow each other by name.
+
+    A split of a file is read in order by one task, so a line's position is its place among the split's lines and the
+    number of lines in earlier splits. Only those counts, one row per split, pass through one task.
+    """
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select("value", file.alias("_file"), start.alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    lines, _ = settle(lines)
+    splits = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits, seen = settle(splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    placed = lines.join(small(splits, seen["rows"]), ["_file", "_start"])
+    return placed.select((F.col("_id") - F.col("_first") + F.col("_before")).alias("node"), F.col("value").alias("line"))
 
 
 def read_numbered_lines(spark: SparkSession, path: str, column: str) -> DataFrame:

@@ -35,6 +35,23 @@ def test_methods_agree(edges_of, joint, parts):
         assert rows(crpq_with_index(edges, together, index, level)) == want
 
 
+def test_an_index_without_the_level(edges_of):
+    data = random_edges(5, nodes=7, edges=30)
+    edges, (joint, parts) = edges_of(data), CASES[0]
+    want = set.intersection(*(accepted(data, Automaton.of(p)) for p in parts))
+    index = signature_build(edges, [1, 2])
+    assert rows(crpq_with_index(edges, Automaton.of(joint), index, 4)) == want  # from level 2
+    assert rows(signature_lookup(index, 4, [[5], [6]])) == rows(signature_lookup(signature_build(edges, [4]), 4, [[5], [6]]))
+    with pytest.raises(ValueError):
+        crpq_with_index(edges, Automaton.of(joint), index, 0)
+
+
+def test_large_blocks_are_written_out_in_steps(spark):
+    blocks = spark.createDataFrame([(3,), (0,)], "block bigint")
+    assert {r[0] for r in rows(block_ids(blocks, 12))} == set(range(4096)) | set(range(3 * 4096, 4 * 4096))
+    assert rows(block_ids(blocks, 0)) == {(3,), (0,)}
+
+
 def test_shared_predecessor_counts_once(edges_of):
     edges = edges_of([(1, 5, 2), (2, 6, 3), (2, 7, 3)])
     a = Automaton.of("1 5 2; 2 6 3; 2 7 3")

@@ -37,6 +37,19 @@ def test_given_starts(spark, edges_of, strategy):
     assert rows(rpq(edges, R3, starts, strategy, part)) == accepted(data, R3, origins)
 
 
+def test_many_starts_are_looked_up_by_salted_join(spark, edges_of, monkeypatch):
+    data = random_edges(2) + [(0, 5, n) for n in range(200, 240)]
+    origins = {0, 13, 27, 40, 999}
+    starts = spark.createDataFrame([(o,) for o in origins], "node bigint")
+    monkeypatch.setattr(plans, "BROADCAST_ROWS", 2)
+    assert rows(rpq(edges_of(data), R3, starts)) == accepted(data, R3, origins)
+
+
+def test_a_start_with_many_edges_is_spread(spark, edges_of):
+    found = plans.started_from(edges_of([(7, 5, n) for n in range(4000)]).repartition(8), spark.createDataFrame([(7,)], "node bigint"), "src")
+    assert found.rdd.getNumPartitions() == 8 and found.count() == 4000
+
+
 def test_nondeterministic_automaton_across_fragments(edges_of):
     data = [(0, 5, 3), (3, 5, 6), (6, 6, 9)]
     edges = edges_of(data)
