@@ -110,17 +110,19 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_i
 
     Rows that repeat key and text are one document: one of them stays.
     """
-    kept = exact_duplicates(docs, text, key).where("kept").select(F.col(key).alias("_kept_id"), "text_sha256", "group_size")
-    kept, seen = settle(kept.withColumnRenamed("text_sha256", "_kept_sha"), copies=F.max("group_size"))
+    kept = exact_duplicates(docs, text, key).where("kept").select(F.col(key).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    kept, _ = settle(kept)
+    repeated, seen = settle(docs.groupBy(F.col(key).alias("_rep")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_rep"))
+    keys = kept.select("_kept_id").distinct()
+
+    def among(rows: DataFrame, table: DataFrame, column: str, how: str) -> DataFrame:
+        return rows.join(table, rows[key].eqNullSafe(table[column]), how)
+
     # without a repeated key the key alone finds the row, and the text needn't be hashed again
-    keys = kept.groupBy("_kept_id").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = docs.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_rep"))
-    repeated, seen = settle(repeated)
-    same = F.col(key).eqNullSafe(F.col("_kept_id"))
     if not seen["rows"]:
-        return docs.join(keys, same, "left_semi")
-    once = docs.join(repeated, F.col(key).eqNullSafe(F.col("_rep")), "left_anti").join(keys, same, "left_semi")
-    sha = F.sha2(lower_ascii(F.col(text)), 256)
-    several = docs.join(repeated, F.col(key).eqNullSafe(F.col("_rep")), "left_semi").withColumn("_sha", sha)
-    several = several.join(kept, same & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return once.unionByName(several.dropDuplicates([key, "_sha"]).drop("_sha"))
+        return among(docs, keys, "_kept_id", "left_semi")
+    once = among(among(docs, repeated, "_rep", "left_anti"), keys, "_kept_id", "left_semi")
+    several = among(docs, repeated, "_rep", "left_semi")
+    hashed = several.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("_id"), F.sha2(lower_ascii(F.col(text)), 256).alias("_sha"))
+    hashed = hashed.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    return once.unionByName(hashed.dropDuplicates(["_id", "_sha"]).select("row.*"))

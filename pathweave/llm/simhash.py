@@ -243,4 +243,4 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
     repeated or null with its class."""
     kept = near_duplicates(docs, text, key).where(F.col(key).eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col(key).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(kept, docs[key].eqNullSafe(kept["_kept_id"]), "left_semi")

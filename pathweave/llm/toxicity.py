@@ -140,4 +140,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    return scored(docs, train(docs, labels, text=text, key=key), text, "_score").where(F.col("_score") < threshold).drop("_score")
+    # rows go along as one structure, so that none of their columns can clash with the score
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return scored(rows, train(docs, labels, text=text, key=key), "text").where(F.col("score") < threshold).select("row.*")

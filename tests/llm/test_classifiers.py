@@ -38,6 +38,7 @@ def test_toxicity_on_held_out_documents(spark):
     assert np.mean([p == t for p, t in held]) > 0.97
     left = toxicity.drop_toxic(docs, labels)
     assert left.columns == docs.columns and left.count() == sum(r["predicted"] == 0 for r in got)
+    assert {r["score"] for r in left.collect()} <= {0.0, 1.0}  # the table's own column of that name
 
 
 def test_toxicity_without_labels_or_documents(spark):
