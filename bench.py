@@ -54,6 +54,8 @@ def main() -> None:
         "boundary_nodes": lambda: fragments.boundary_nodes(chain(), fragments.fragment_assign(fragments.node_set(chain()), 3)),
         "undirected_export": lambda: QUERIES["undirected_adjacency_export"](spark, FOLDER),
         "relabel": lambda: QUERIES["relabel_edges"](spark, FOLDER),
+        "swap_gain_edge": lambda: QUERIES["swap_gain_edge"](spark, FOLDER),
+        "swap_gain_boundary": lambda: QUERIES["swap_gain_boundary"](spark, FOLDER),
         "partition_edge_local": lambda: QUERIES["partition_edge_local"](spark, FOLDER),
     }
     seconds, rows = {}, {}

@@ -93,8 +93,11 @@ def fixpoint(
             following = follow(tags)
             if not following:
                 return visited
-            if visited.rows > parts * STATES_PER_PART:
-                parts *= 4
+            wanted = parts
+            while visited.rows > wanted * STATES_PER_PART:
+                wanted *= 4
+            if wanted > parts:
+                parts = wanted
                 spark.conf.set("spark.sql.shuffle.partitions", str(parts))
                 visited.relay(parts)
                 relay(parts)

@@ -175,6 +175,7 @@ def _lookup(edges: DataFrame, automaton: Automaton, starts: DataFrame | None, ma
     if starts is not None:
         first = started_from(first, starts, "src")
     seed = product_start(first.join(steps.where(F.col("q") == START), "label").select("src", "q", "dst", "t"))
+    seed, seen = settle(seed)
     stored: list[ProductGraph] = []
 
     def probe(frontier: DataFrame, rows: int, tags: frozenset) -> DataFrame:
@@ -191,7 +192,7 @@ def _lookup(edges: DataFrame, automaton: Automaton, starts: DataFrame | None, ma
         seed,
         probe,
         PAIR_STATE,
-        parts_for(spark, 0),
+        parts_for(spark, seen["rows"]),
         automaton.successors({START}),
         automaton.successors,
         max_rounds=max_rounds,

@@ -18,6 +18,7 @@ C2 = Automaton.of("1 8 2; 2 9 2; 2 10 2; 2 11 3")
 BOTH = Automaton.of("1 5 2; 2 6 2; 2 7 4; 1 8 3; 3 9 3; 3 10 3; 3 11 4")
 ORDERS = Automaton.of("1 1 2; 2 2 2; 2 1 3; 3 1 3")
 PARTS = 3
+# Rounds of swaps that the partitioning queries ask for; `swaps.partition` itself runs 351 if not told otherwise.
 ROUNDS = 4
 LEVEL = 2
 START_NODE = 17

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 # Rows a table may have to be broadcast: rows here are a few numbers wide, so this stays near 10 MB.
 BROADCAST_ROWS = 200_000
-# Static rows (edges) and accumulated rows (search states) wanted per partition.
-EDGES_PER_PART = 250_000
-STATES_PER_PART = 500_000
+# Static rows (edges) below which a loop is all fixed cost and takes few partitions.
+FEW_ROWS = 250_000
+# Static rows and accumulated rows (search states) wanted per partition: near 128 MB, a row being a few numbers wide.
+EDGES_PER_PART = 4_000_000
+STATES_PER_PART = 4_000_000
 # A key below this many rows is never hot.
 HOT_ROWS = 100_000
 
@@ -54,7 +56,7 @@ def parts_for(spark: SparkSession, rows: int) -> int:
     """Partitions for a loop over ``rows`` static rows: few for a small input, whose rounds are all fixed cost, else by
     size and at least one per core."""
     cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if rows <= EDGES_PER_PART:
+    if rows <= min(FEW_ROWS, EDGES_PER_PART):
         return min(cores, 4)
     return max(cores, math.ceil(rows / EDGES_PER_PART))
 
