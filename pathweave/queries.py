@@ -261,6 +261,22 @@ _boundary_local = _partition("order_follow", "boundary", "local")
 _boundary_random = _partition("order_follow", "boundary", "random")
 
 
+def _tally(name, objective, run):
+    """Of a partitioning, nodes per colour; is its score, counted anew from the colouring, the best of the trace; and is
+    it no worse than at the start?"""
+
+    def tally(spark, folder):
+        edges, found = graph(spark, folder, name), run(spark, folder)
+        part = found.colouring.withColumnRenamed("colour", "part")
+        crossing = fragments.cross_edges if objective == "edge" else fragments.boundary_nodes
+        scores = [row[1] if objective == "edge" else row[2] for row in found.trace]
+        checks = [F.lit(crossing(edges, part).count() == min(scores)), F.lit(min(scores) <= scores[0])]
+        counts = found.colouring.groupBy("colour").agg(F.count(F.lit(1)).alias("nodes"))
+        return counts.select("colour", "nodes", checks[0].alias("recounted"), checks[1].alias("no_worse"))
+
+    return tally
+
+
 def query_filter(spark, folder):
     """Query lines with a numbered start placeholder, one per order line."""
     items = spark.read.parquet(f"{folder}/lineitem.parquet")
@@ -330,6 +346,10 @@ QUERIES = {
     "partition_edge_random": lambda s, d: _edge_random(s, d).colouring,
     "partition_boundary_local": lambda s, d: _boundary_local(s, d).colouring,
     "partition_boundary_random": lambda s, d: _boundary_random(s, d).colouring,
+    "partition_edge_local_tally": _tally("part_chain", "edge", _edge_local),
+    "partition_edge_random_tally": _tally("part_chain", "edge", _edge_random),
+    "partition_boundary_local_tally": _tally("order_follow", "boundary", _boundary_local),
+    "partition_boundary_random_tally": _tally("order_follow", "boundary", _boundary_random),
     "partition_trace": lambda s, d: _edge_local(s, d).trace_df(),
     "label_frequency": lambda s, d: stats.label_frequency(_chain(s, d)),
     "label_frequency_above": lambda s, d: stats.label_frequency_above(_chain(s, d), 0.02),
