@@ -29,11 +29,20 @@ def _names(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """An integer for each combination of ``keys`` that occurs more than once.
 
     Counting combines before the shuffle, so a frequent combination is one row per task. The number follows from the
-    sorted order inside its partition: a task that is run again gives the same one. Names are settled before they are
-    joined, as adaptive execution splits the rows of a frequent key only where both sides are dealt out for the join.
+    sorted order inside its partition: a task that is run again gives the same one.
     """
     counted = rows.groupBy(*keys).agg(F.sum("_times").alias("_n")).where("_n > 1")
-    return settle(counted.drop("_n").sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()))[0]
+    return counted.drop("_n").sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id())
+
+
+def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with the names of their ``keys``, null for a combination that occurs once.
+
+    A hash of the keys joins too: the names, few and counted by the keys alone, are then dealt out anew like the rows,
+    and where both sides are dealt out for the join, adaptive execution splits the rows of a frequent combination.
+    """
+    names = _names(rows, keys, name).withColumn("_key", F.xxhash64(*keys))
+    return rows.withColumn("_key", F.xxhash64(*keys)).join(names, ["_key", *keys], "left").drop("_key")
 
 
 def _deep_names(docs: DataFrame) -> DataFrame:
@@ -41,7 +50,7 @@ def _deep_names(docs: DataFrame) -> DataFrame:
     cut = docs.select("_id", lower_ascii(F.col("_text")).alias("_text"))
     cut = cut.select("_id", F.unhex(F.sha2("_text", 256)).alias("_sha"), F.posexplode(_cut(F.col("_text"))).alias("_at", "_block"))
     cut = cut.withColumn("_times", F.lit(1))
-    rows = cut.join(_names(cut, ["_block"], "_name"), "_block", "left").select("_id", "_sha", "_at", "_times", "_name")
+    rows = _named(cut, ["_block"], "_name").select("_id", "_sha", "_at", "_times", "_name")
     rows, seen = settle(rows, last=F.max("_at"))
     while seen["last"]:
         side = F.when(F.col("_at") % 2 == 0, F.lit(0)).otherwise(1)
@@ -54,11 +63,10 @@ def _deep_names(docs: DataFrame) -> DataFrame:
             F.sum(F.when(side == 0, F.col("_times"))).alias("_times"),
         )
         pairs, seen = settle(pairs, last=F.max("_at"))
-        names = _names(pairs.where("not _alone"), ["_left", "_right"], "_name")
         # an unnamed part leaves no pair to look up
-        left = F.when(~F.col("_alone"), F.col("_left")).alias("_left")
-        rows = pairs.select("_id", "_sha", "_at", "_times", left, "_right").join(names, ["_left", "_right"], "left")
-        rows = rows.select("_id", "_sha", "_at", "_times", "_name")
+        named = _named(pairs.where("not _alone"), ["_left", "_right"], "_name")
+        alone = pairs.where("_alone").withColumn("_name", F.lit(None).cast("long"))
+        rows = named.unionByName(alone).select("_id", "_sha", "_at", "_times", "_name")
     return rows.select("_id", "_sha", "_name")
 
 
@@ -78,7 +86,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -
         F.monotonically_increasing_id().alias("_row"), "_id", size.alias("_size"), head.alias("_head"),
         F.unhex(F.sha2(lower_ascii(F.col("_text")), 256)).alias("_sha")))
     slim = slim.withColumn("_times", F.lit(1))
-    named = slim.join(_names(slim, ["_size", "_head"], "_first"), ["_size", "_head"], "left")
+    named = _named(slim, ["_size", "_head"], "_first")
     named, _ = settle(named.select("_row", "_id", "_size", "_sha", "_first"))
 
     more = (F.col("_size") > BLOCK) & F.col("_first").isNotNull()
