@@ -8,14 +8,11 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
-
 #: Words remembered in each of two generations: the older one is dropped when the newer one is full.
-MEMORY = 500_000
+MEMORY = 400_000
 
-_LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
-_PLAIN = re.compile(_LETTERS)
-_PUNCTUATED = re.compile(rb"(%s)([.,;:!?]+)" % _LETTERS)
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_ENDING = b".,;:!?"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,6 +31,7 @@ class WordMemory:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -42,25 +40,42 @@ class WordMemory:
         words = (text if b"<|" in text else text.lower()).split()
         if len(self.young) > MEMORY:
             self.young, self.old = {}, self.young
+        young = self.young
         try:
-            return b"".join(map(self.young.__getitem__, words))
+            return b"".join(map(young.__getitem__, words))
         except KeyError:
-            for word in set(words).difference(self.young):
-                self._learn(word)
-            return b"".join(map(self.young.__getitem__, words))
-
-    def _learn(self, word: bytes) -> bytes:
-        found = self.young.get(word) or self.old.get(word)
-        if found is None:
-            if _PLAIN.fullmatch(word):
-                # one run of small letters goes to the vocabulary as it is
-                found = np.array([t.id for t in self.model.tokenize(word.decode("latin1").translate(self.letters))], "<u4").tobytes()
-            elif parts := _PUNCTUATED.fullmatch(word):
-                found = self._learn(parts[1]) + self._learn(parts[2])
-            else:
-                found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self.young[word] = found
-        return found
+            old = self.old
+            for word in {w for w in words if w not in young}:
+                found = old.get(word)
+                young[word] = self._new(word) if found is None else found
+            return b"".join(map(young.__getitem__, words))
+
+    def _new(self, word: bytes) -> bytes:
+        if _plain(word):
+            return self._letters(word)
+        stem = word.rstrip(_ENDING)
+        if len(stem) < len(word) and _plain(stem):
+            # letters and marks after them are parted before tokens are looked for
+            return (self.young.get(stem) or self.old.get(stem) or self._letters(stem)) + self._known(word[len(stem):])
+        return self._whole(word)
+
+    def _known(self, marks: bytes) -> bytes:
+        if marks not in self.young:
+            self.young[marks] = self._whole(marks)
+        return self.young[marks]
+
+    def _letters(self, word: bytes) -> bytes:
+        """One run of small letters goes to the vocabulary as it is, byte by byte."""
+        text = word.decode() if word.isascii() else word.decode("latin1").translate(self.letters)
+        coded = self.coded
+        return b"".join([coded[t.id] for t in self.model.tokenize(text)])
+
+    def _whole(self, word: bytes) -> bytes:
+        return b"".join([self.coded[i] for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
+
+
+def _plain(word: bytes) -> bool:
+    return word.isalpha() and word.islower() or _LETTERS.fullmatch(word) is not None
 
 
 _memories: dict[str, WordMemory] = {}
