@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from pathweave.functions.rank import global_rank
 from pathweave.llm.tokens import memory
-from pathweave.llm.workers import reachable
+from pathweave.llm.workers import each_text, reachable
 from pathweave.session import settle
 
 #: Tokens in a sequence, the id that ends a document, and the step to which patterns round lengths up.
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", with_ids: bool =
         known = memory(tokenizer)
         end = np.array([END], "<u4").tobytes()
         counts, starts, crcs, lengths, ids = [0], [], [], [], []
-        for t in texts.cast(pa.large_binary()).to_pylist():
+        for t in each_text(texts):
             own = known.ids(t or b"") + end
             for at in range(0, len(own), 4 * length):
                 part = own[at:at + 4 * length]

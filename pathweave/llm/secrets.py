@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from pathweave.llm.automata import Dfa
-from pathweave.llm.workers import reachable
+from pathweave.llm.workers import each_text, reachable
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ def find_secrets(docs: DataFrame, text: str = "text", name: str = "secrets", rul
     def scan(texts: pa.Array) -> pa.Array:
         own = scanner(rules)
         out = []
-        for t in texts.cast(pa.large_binary()).to_pylist():
+        for t in each_text(texts):
             spans = _code_points(t, own.spans(t)) if t else []
             out.append([{"start": s, "kind": rules[r].kind, "end": e, "base": int(r < base)} for s, r, e in spans])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64()), ("base", pa.int64())]))

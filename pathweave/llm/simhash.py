@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pathweave.llm.components import components
-from pathweave.llm.workers import reachable
+from pathweave.llm.workers import each_text, reachable
 from pathweave.session import settle
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
@@ -58,7 +58,7 @@ _LOWER = bytes(range(256)).lower()
 
 @F.arrow_udf(LongType())
 def _fingerprint(texts: pa.Array) -> pa.Array:
-    return pa.array([fingerprint_of(t) for t in texts.cast(pa.large_binary()).to_pylist()], pa.int64())
+    return pa.array([fingerprint_of(t) for t in each_text(texts)], pa.int64())
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from pathweave.llm.workers import reachable
+from pathweave.llm.workers import each_text, reachable
 
 #: Words in a window that counts as repeated when it comes twice.
 WINDOW = 8
@@ -54,7 +54,7 @@ def stats_of(text: bytes | None) -> tuple[int, ...]:
 
 @F.arrow_udf(StructType([StructField(n, LongType()) for n in NAMES]))
 def _stats(texts: pa.Array) -> pa.Array:
-    rows = np.array([stats_of(t) for t in texts.cast(pa.large_binary()).to_pylist()], np.int64).reshape(-1, len(NAMES))
+    rows = np.array([stats_of(t) for t in each_text(texts)], np.int64).reshape(-1, len(NAMES))
     return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(NAMES))], NAMES)
 
 

@@ -9,6 +9,8 @@ weights that every task gets; scoring reads all documents and whole texts.
 from __future__ import annotations
 
 import zlib
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from pathweave.llm.workers import reachable
+from pathweave.llm.workers import each_text, reachable
 
 #: Buckets of features; the place behind them is the intercept.
 BUCKETS = 1 << 20
@@ -50,19 +52,28 @@ def buckets_of(text: bytes | None) -> np.ndarray:
     return (mixed >> np.uint64(44)).astype(np.int64)
 
 
-def fit(texts: list[bytes], labels: list[float], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and weights that are not zero, after the passes over the texts in the given order."""
+def fit(texts: Iterable[bytes | None], labels: list[float], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights that are not zero, after the passes over the texts in the given order.
+
+    Texts are read once; what stays are their features, one after the other in one array.
+    """
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     l1 = np.full(BUCKETS + 1, L1)
     l1[BUCKETS] = 0.0
-    rows = [np.append(np.unique(buckets_of(t)), BUCKETS).astype(np.int32) for t in texts]
+    features, ends = array("i"), [0]
+    for t in texts:
+        features.frombytes(np.append(np.unique(buckets_of(t)), BUCKETS).astype(np.int32).tobytes())
+        ends.append(len(features))
+    places = np.frombuffer(features, np.int32)
+    rows = list(zip(ends, ends[1:]))
 
     def weight(at):
         zi, li = z[at], l1[at]
         return np.where(np.abs(zi) <= li, 0.0, -(zi - np.sign(zi) * li) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     for _ in range(max(PASSES, min(MOST_PASSES, STEPS // max(1, len(rows))))):
-        for at, y, importance in zip(rows, labels, weights):
+        for (begin, end), y, importance in zip(rows, labels, weights):
+            at = places[begin:end]
             w = weight(at)
             g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * importance
             ni = n[at]
@@ -75,13 +86,16 @@ def fit(texts: list[bytes], labels: list[float], weights: list[float]) -> tuple[
 
 def _fit_task(batches):
     """All batches of the one task that learns: ``(text, label, weight)`` rows in, ``(place, weight)`` rows out."""
-    texts, labels, weights = [], [], []
-    for batch in batches:
-        texts += batch.column(0).cast(pa.large_binary()).to_pylist()
-        labels += batch.column(1).to_pylist()
-        weights += batch.column(2).to_pylist()
-    if texts:
-        at, w = fit(texts, labels, weights)
+    labels, weights = [], []
+
+    def texts():
+        for batch in batches:
+            labels.extend(batch.column(1).to_pylist())
+            weights.extend(batch.column(2).to_pylist())
+            yield from each_text(batch.column(0))
+
+    at, w = fit(texts(), labels, weights)
+    if labels:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["place", "weight"])
 
 
@@ -119,7 +133,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "t
         dense = np.zeros(BUCKETS + 1)
         dense[places] = weights
         out = []
-        for t in texts.cast(pa.large_binary()).to_pylist():
+        for t in each_text(texts):
             at = buckets_of(t)
             at = at[dense[at] != 0]
             out.append(dense[np.unique(at)].sum() + dense[BUCKETS] if len(places) else -np.inf)

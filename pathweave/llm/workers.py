@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Texts of a batch that are Python objects at once.
+AT_ONCE = 128
+
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -21,3 +26,10 @@ def reachable(df: DataFrame) -> DataFrame:
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
     return df
+
+
+def each_text(texts: pa.Array) -> Iterator[bytes | None]:
+    """The UTF-8 of a batch's texts one after the other, a few copied out of the batch at a time."""
+    texts = texts.cast(pa.large_binary())
+    for at in range(0, len(texts), AT_ONCE):
+        yield from texts.slice(at, AT_ONCE).to_pylist()
