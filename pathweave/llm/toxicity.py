@@ -8,6 +8,7 @@ weights that every task gets; scoring reads all documents and whole texts.
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections.abc import Iterable
@@ -55,7 +56,10 @@ def buckets_of(text: bytes | None) -> np.ndarray:
 def fit(texts: Iterable[bytes | None], labels: list[float], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights that are not zero, after the passes over the texts in the given order.
 
-    Texts are read once; what stays are their features, one after the other in one array.
+    ``weights`` tell how many documents of its class a text stands for. Gradients see them relative to the mean of the
+    class only, so that L1 and rates mean the same at any number of labels; how much more common one class is than in the
+    sample goes into the intercept afterwards, as log-odds. Texts are read once; what stays are their features, one after
+    the other in one array.
     """
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     l1 = np.full(BUCKETS + 1, L1)
@@ -66,13 +70,17 @@ def fit(texts: Iterable[bytes | None], labels: list[float], weights: list[float]
         ends.append(len(features))
     places = np.frombuffer(features, np.int32)
     rows = list(zip(ends, ends[1:]))
+    toxic, stands_for = np.array(labels) == 1.0, np.array(weights, np.float64)
+    means = [stands_for[c].mean() if c.any() else None for c in (toxic, ~toxic)]
+    prior = math.log(means[0] / means[1]) if None not in means else 0.0
+    relative = [w / means[0 if t else 1] for t, w in zip(toxic.tolist(), stands_for.tolist())]
 
     def weight(at):
         zi, li = z[at], l1[at]
         return np.where(np.abs(zi) <= li, 0.0, -(zi - np.sign(zi) * li) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     for _ in range(max(PASSES, min(MOST_PASSES, STEPS // max(1, len(rows))))):
-        for (begin, end), y, importance in zip(rows, labels, weights):
+        for (begin, end), y, importance in zip(rows, labels, relative):
             at = places[begin:end]
             w = weight(at)
             g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * importance
@@ -80,6 +88,7 @@ def fit(texts: Iterable[bytes | None], labels: list[float], weights: list[float]
             z[at] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[at] = ni + g * g
     w = weight(np.arange(BUCKETS + 1))
+    w[BUCKETS] += prior
     at = np.flatnonzero(w)
     return at, w[at]
 
@@ -108,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     """The model: places and weights, at most ``BUCKETS`` + 1 of them, and a few thousand under L1.
 
     Labels of one key are averaged; null labels, null keys and keys that are held out are not used. Labelled documents
-    of a class beyond the sample count through the weight of those in it. Without labels the model is empty.
+    of a class beyond the sample count through the intercept. Without labels the model is empty.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))

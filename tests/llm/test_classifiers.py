@@ -56,6 +56,30 @@ def test_ftrl_is_sparse():
     assert dict(zip(at.tolist(), w.tolist()))[int(toxicity.buckets_of(b"awful")[0])] > 0.5
 
 
+def test_ftrl_does_not_depend_on_how_many_labels_a_sample_stands_for():
+    rng = random.Random(4)
+
+    def text(toxic):
+        words = [rng.choice(WORDS) for _ in range(30)]
+        return " ".join([*words[:9], rng.choice(["awful", "rotten", "vile"]), *words[9:]] if toxic else words).encode()
+
+    truth = [float(i % 2) for i in range(3000)]
+    texts, held = [text(y) for y in truth], [(text(i % 2), i % 2) for i in range(600)]
+    sizes, recalls, false = [], [], []
+    for total in (10**4, 10**7):  # a tenth of the labels toxic
+        weights = [total * (0.1 if y else 0.9) / 1500 for y in truth]
+        at, w = toxicity.fit(texts, truth, weights)
+        dense = np.zeros(toxicity.BUCKETS + 1)
+        dense[at] = w
+        scores = [dense[np.unique(toxicity.buckets_of(t))].sum() + dense[toxicity.BUCKETS] for t, _ in held]
+        called = [1 / (1 + np.exp(-x)) >= toxicity.THRESHOLD for x in scores]
+        sizes.append(len(at))
+        recalls.append(np.mean([c for c, (_, y) in zip(called, held) if y]))
+        false.append(np.mean([c for c, (_, y) in zip(called, held) if not y]))
+    assert min(recalls) > 0.95 and max(false) < 0.05, (recalls, false)
+    assert max(sizes) < 2_000 and max(sizes) <= 1.1 * min(sizes), sizes
+
+
 def plain_stats(text):
     text = text or ""
     ws = " \t\n\r\x0b\x0c"
