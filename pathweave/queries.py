@@ -18,8 +18,6 @@ C2 = Automaton.of("1 8 2; 2 9 2; 2 10 2; 2 11 3")
 BOTH = Automaton.of("1 5 2; 2 6 2; 2 7 4; 1 8 3; 3 9 3; 3 10 3; 3 11 4")
 ORDERS = Automaton.of("1 1 2; 2 2 2; 2 1 3; 3 1 3")
 PARTS = 3
-# Rounds of swaps that the partitioning queries ask for; `swaps.partition` itself runs 351 if not told otherwise.
-ROUNDS = 4
 LEVEL = 2
 START_NODE = 17
 
@@ -250,7 +248,7 @@ def _partition(name, objective, candidates):
         edges = graph(spark, folder, name)
         n = _n_nodes(edges)
         nodes = spark.range(n).select(F.col("id").alias("node"))
-        return swaps.partition(edges, nodes, _sizes(n), objective, candidates, ROUNDS, seed=7)
+        return swaps.partition(edges, nodes, _sizes(n), objective, candidates, seed=7)
 
     return run
 
@@ -263,14 +261,14 @@ _boundary_random = _partition("order_follow", "boundary", "random")
 
 def _tally(name, objective, run):
     """Of a partitioning, nodes per colour; is its score, counted anew from the colouring, the best of the trace; and is
-    it no worse than at the start?"""
+    it no worse than at the start, of a run that went to its end?"""
 
     def tally(spark, folder):
         edges, found = graph(spark, folder, name), run(spark, folder)
         part = found.colouring.withColumnRenamed("colour", "part")
         crossing = fragments.cross_edges if objective == "edge" else fragments.boundary_nodes
         scores = [row[1] if objective == "edge" else row[2] for row in found.trace]
-        checks = [F.lit(crossing(edges, part).count() == min(scores)), F.lit(min(scores) <= scores[0])]
+        checks = [F.lit(crossing(edges, part).count() == min(scores)), F.lit(found.finished and min(scores) <= scores[0])]
         counts = found.colouring.groupBy("colour").agg(F.count(F.lit(1)).alias("nodes"))
         return counts.select("colour", "nodes", checks[0].alias("recounted"), checks[1].alias("no_worse"))
 
