@@ -2,7 +2,8 @@
 
 The trees learn from labelled URLs, by default those that rules decide. All features are counts and ratios over the
 characters of a URL, and how often labelled URLs of its host's suffixes are blocked, smoothed towards the whole rate; in
-learning, a URL's own label is left out of that. Learning takes a bounded sample, scoring all URLs.
+learning, a URL's own labels are left out of that. Rates count all labelled URLs, the trees learn from a bounded sample of
+distinct ones, and all URLs are scored.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.llm.text import lower_ascii
-from pathweave.session import settle
+from pathweave.session import settle, small
 
 #: (allowed, host, path) of the rules; hosts cover their subdomains.
 RULES = (
@@ -24,9 +25,12 @@ RULES = (
     (True, "com", "/fr/"),
     (False, "com", "/de/"),
 )
-#: Labelled URLs that are learnt from at most, those with the smallest hashes; trees, their depth, and the step.
+#: Distinct labelled URLs that the trees learn from at most, those with the smallest hashes, half of them of either label
+#: if there are so many; trees, their depth, and the step.
 SAMPLE = 20_000
 TREES, DEPTH, STEP = 20, 4, 0.2
+#: Copies of a labelled URL that weigh in learning at most.
+COPIES = 16
 #: Labels that a suffix's rate is smoothed with.
 SMOOTH = 10.0
 
@@ -103,37 +107,55 @@ def features(urls: DataFrame) -> DataFrame:
     return urls.withColumns(lexical | suffixes)
 
 
-def _rates(sample: DataFrame, name: str) -> DataFrame:
-    """Labelled and blocked URLs by suffix: at most ``SAMPLE`` rows."""
-    return sample.groupBy(name).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum("blocked").alias(f"{name}_b"))
+def _rates(known: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Labelled and blocked URLs by suffix, combined before the shuffle, and the number of suffixes."""
+    suffix = F.substring_index("host", ".", SUFFIXES[name]).alias(name)
+    table, seen = settle(known.groupBy(suffix).agg(F.sum("n").alias(f"{name}_n"), F.sum("b").alias(f"{name}_b")))
+    return table, seen["rows"]
 
 
-def _with_rates(rows: DataFrame, tables: dict[str, DataFrame], rate: float, own: bool) -> DataFrame:
-    """``rows`` with the suffixes' smoothed rates; ``own``: without the rows' own labels."""
-    for name, table in tables.items():
-        less, label = (1.0, F.col("blocked")) if own else (0.0, F.lit(0.0))
-        n, b = F.coalesce(f"{name}_n", F.lit(less)) - less, F.coalesce(f"{name}_b", label) - label
-        rows = rows.join(F.broadcast(table), name, "left").withColumn(f"{name}_rate", (b + SMOOTH * rate) / (n + SMOOTH))
+def _with_rates(rows: DataFrame, tables: dict[str, tuple[DataFrame, int]], rate: float, own: bool) -> DataFrame:
+    """``rows`` with the suffixes' smoothed rates; ``own``: without the labels ``n`` and ``b`` of the rows' own URL."""
+    for name, (table, size) in tables.items():
+        less_n, less_b = (F.col("n"), F.col("b")) if own else (F.lit(0.0), F.lit(0.0))
+        n, b = F.coalesce(f"{name}_n", less_n) - less_n, F.coalesce(f"{name}_b", less_b) - less_b
+        rows = rows.join(small(table, size), name, "left").withColumn(f"{name}_rate", (b + SMOOTH * rate) / (n + SMOOTH))
         rows = rows.drop(f"{name}_n", f"{name}_b")
     return rows
 
 
+def _sample(known: DataFrame, seen: dict) -> DataFrame:
+    """Distinct URLs of either label with ``blocked`` and ``weight``: at most ``SAMPLE`` rows. A URL weighs by its copies,
+    up to ``COPIES``, and by how many URLs of its label are not in the sample."""
+    sides = {1.0: (F.col("b"), seen["blocked_urls"]), 0.0: (F.col("n") - F.col("b"), seen["other_urls"])}
+    fewer = min(SAMPLE // 2, *(urls for _, urls in sides.values()))
+    chosen = []
+    for blocked, (copies, urls) in sides.items():
+        limit = fewer if urls == fewer else min(urls, SAMPLE - fewer)
+        weight = F.least(copies, F.lit(float(COPIES))) * F.lit(urls / limit)
+        some = known.where(copies > 0).orderBy(F.xxhash64("url"), "url").limit(limit)
+        chosen.append(some.withColumns({"blocked": F.lit(blocked), "weight": weight}))
+    return chosen[0].unionByName(chosen[1])
+
+
 def judged(urls: DataFrame, labelled: DataFrame) -> DataFrame:
     """``urls`` with ``blocking``, the trees' probability that a URL is to be blocked.
 
-    Both have features, ``labelled`` also ``blocked`` (1.0 or 0.0). With labels of one kind only, that kind is certain;
-    without labels nothing is blocked.
+    ``urls`` has features; ``labelled`` has ``url``, ``host``, ``path`` and ``blocked`` (1.0 or 0.0; null is not used).
+    With labels of one kind only, that kind is certain; without labels nothing is blocked.
     """
-    sample = labelled.orderBy(F.xxhash64("url"), "url", "blocked").limit(SAMPLE)
-    sample, seen = settle(sample, blocked=F.sum("blocked"))
-    rate = (seen["blocked"] or 0.0) / max(seen["rows"], 1)
+    label = F.col("blocked")
+    known = labelled.where(label.isNotNull()).groupBy("url", "host", "path").agg(F.count(label).cast("double").alias("n"), F.sum(label).alias("b"))
+    known, seen = settle(known, n=F.sum("n"), b=F.sum("b"), blocked_urls=F.count_if(F.col("b") > 0), other_urls=F.count_if(F.col("b") < F.col("n")))
+    rate = (seen["b"] or 0.0) / max(seen["n"] or 0.0, 1.0)
     if rate in (0.0, 1.0):
         return urls.withColumn("blocking", F.lit(rate))
-    tables = {name: settle(_rates(sample, name))[0] for name in SUFFIXES}
+    tables = {name: _rates(known, name) for name in SUFFIXES}
     names = [*_lexical(F.lit(""), F.lit(""), F.lit("")), *(f"{name}_rate" for name in SUFFIXES)]
     vectors = VectorAssembler(inputCols=names, outputCol="vector")
-    trees = GBTClassifier(labelCol="blocked", featuresCol="vector", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=32, seed=7)
-    learning, _ = settle(vectors.transform(_with_rates(sample, tables, rate, True)).select("vector", "blocked"))
+    trees = GBTClassifier(labelCol="blocked", featuresCol="vector", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=32, seed=7)
+    sample, _ = settle(_sample(known, seen))
+    learning, _ = settle(vectors.transform(_with_rates(features(sample), tables, rate, True)).select("vector", "blocked", "weight"))
     model = trees.fit(learning)
     scored = model.transform(vectors.transform(_with_rates(urls, tables, rate, False)))
     return scored.withColumn("blocking", vector_to_array("probability")[1])
@@ -154,6 +176,6 @@ def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules=
     own = own.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     known = own.where("found is not null").withColumn("blocked", (~F.col("found.allowed")).cast("double")) if labelled is None else parsed(
         labelled.select("url", F.col("blocked").cast("double").alias("blocked")))
-    scored = judged(features(own), features(known.select("url", "host", "path", "blocked")))
+    scored = judged(features(own), known.select("url", "host", "path", "blocked"))
     allowed = F.coalesce(F.col("found.allowed"), F.col("blocking") < threshold)
     return scored.select(F.col("key").alias(key), "host", "path", F.col("found.rule").alias("rule"), F.when(allowed, "allow").otherwise("block").alias("verdict"))

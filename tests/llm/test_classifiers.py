@@ -201,6 +201,19 @@ def test_trees_learn_from_labels(spark):
     assert right > 390
 
 
+NONE = ((True, "none.such", "/"),)
+
+
+def test_suffix_rates_count_all_labelled_urls(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLE", 200)
+    # so many hosts that few of them are in the sample, each wholly blocked or not, whatever the URL looks like
+    rows = [(h, f"http://www.h{1000 + h}/p/{1000 + i}", float(h % 2)) for h in range(400) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, blocked double")
+    asked = spark.createDataFrame([(h, f"http://www.h{1000 + h}/p/9999") for h in range(400)], "page_id long, url string")
+    got = urls.filter_urls(asked, rules=NONE, labelled=pages).collect()
+    assert np.mean([(r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got]) > 0.95
+
+
 def test_entropy(spark):
     rows = [("aabb", 1.0), ("aaaa", 0.0), ("abcd", 2.0), ("", 0.0)]
     got = spark.createDataFrame(rows, "t string, e double").select(urls._entropy(F.col("t")).alias("x"), "e").collect()
