@@ -214,6 +214,16 @@ def test_suffix_rates_count_all_labelled_urls(spark, monkeypatch):
     assert np.mean([(r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got]) > 0.95
 
 
+def test_a_repeated_url_does_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLE", 200)
+    rows = [(i, f"http://site{i % 7}.info/{'spam/' if i % 3 == 0 else ''}{i}", float(i % 3 == 0)) for i in range(900)]
+    table = spark.createDataFrame(rows, "page_id long, url string, blocked double")
+    # the URL that comes first by hash is the hot one
+    hot = table.orderBy(F.xxhash64("url"), "url").limit(1).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("x")
+    got = urls.filter_urls(table, rules=NONE, labelled=table.unionByName(hot)).collect()
+    assert np.mean([(r["verdict"] == "block") == (r["page_id"] % 3 == 0) for r in got]) > 0.95
+
+
 def test_entropy(spark):
     rows = [("aabb", 1.0), ("aaaa", 0.0), ("abcd", 2.0), ("", 0.0)]
     got = spark.createDataFrame(rows, "t string, e double").select(urls._entropy(F.col("t")).alias("x"), "e").collect()
