@@ -4,7 +4,7 @@ Each rule rejects documents whose measure is above its cutoff. Cutoffs are picke
 grid, on labelled documents: a cutoff is certified if the exact binomial bound says that at most ``LIMIT`` of the good
 documents of the stratum are above it, ``LIMIT`` being the rule's share of the whole limit. A grid is tested from its
 loosest value on and left at the first that fails, which needs no correction along the grid; across rules and strata the
-confidence is divided by their number (Bonferroni). With the given confidence, no stratum loses more of its good
+confidence is divided by their number (Bonferroni), strata being all that have labels. With the given confidence, no stratum loses more of its good
 documents to the rules than the whole limit. Among certified cutoffs the one that tells bad from good best is used.
 """
 
@@ -12,17 +12,17 @@ from __future__ import annotations
 
 from math import exp, lgamma, log, log1p
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.llm.textstats import text_stats
-from pathweave.session import settle
+from pathweave.llm.workers import reachable
+from pathweave.session import settle, small
 
 #: Good documents of a stratum that the rules together may reject, and the chance that a bound fails anywhere.
 LIMIT = 0.05
 RISK = 0.05
-#: Strata of their own: the most frequent among labelled documents. The others share one.
-STRATA = 32
 #: What a false rejection weighs against a right one, as rates, when certified cutoffs are compared.
 WEIGHT = 10.0
 
@@ -53,24 +53,24 @@ def certified(rejected: int, good: int, limit: float, risk: float) -> bool:
     return total <= risk
 
 
-def cutoffs(counts: dict[tuple[str, str, int], tuple[int, int]], strata: list[str], limit: float = LIMIT, risk: float = RISK) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule from ``counts[stratum, rule, passed] = (good, bad)``, where ``passed`` is how many
-    values of the rule's grid a measure is above. No entry: no cutoff is certified, or none is worth it."""
-    chosen: dict[str, dict[str, float]] = {}
-    for stratum in strata:
-        for rule, (_, grid) in RULES.items():
-            own = [counts.get((stratum, rule, i), (0, 0)) for i in range(len(grid) + 1)]
-            good, bad = (sum(x[j] for x in own) for j in (0, 1))
-            best = 0.0
-            for i, value in enumerate(grid):
-                above = own[len(grid) - i:]  # what passes the i-th value passes all stricter ones
-                g, b = (sum(x[j] for x in above) for j in (0, 1))
-                if not certified(g, good, limit / len(RULES), risk / (len(RULES) * len(strata))):
-                    break
-                worth = b / max(bad, 1) - WEIGHT * g / max(good, 1)
-                if worth > best:
-                    best = worth
-                    chosen.setdefault(stratum, {})[rule] = float(value)
+def cutoffs(counts: dict[tuple[str, int], tuple[int, int]], strata: int, limit: float = LIMIT, risk: float = RISK) -> dict[str, float]:
+    """One stratum's cutoffs by rule, ``strata`` being tested in all, from ``counts[rule, passed] = (good, bad)``, where
+    ``passed`` is how many values of the rule's grid a measure is above. No entry: no cutoff is certified, or none is
+    worth it."""
+    chosen: dict[str, float] = {}
+    for rule, (_, grid) in RULES.items():
+        own = [counts.get((rule, i), (0, 0)) for i in range(len(grid) + 1)]
+        good, bad = (sum(x[j] for x in own) for j in (0, 1))
+        best = 0.0
+        for i, value in enumerate(grid):
+            above = own[len(grid) - i:]  # what passes the i-th value passes all stricter ones
+            g, b = (sum(x[j] for x in above) for j in (0, 1))
+            if not certified(g, good, limit / len(RULES), risk / (len(RULES) * strata)):
+                break
+            worth = b / max(bad, 1) - WEIGHT * g / max(good, 1)
+            if worth > best:
+                best = worth
+                chosen[rule] = float(value)
     return chosen
 
 
@@ -80,20 +80,26 @@ def _passed(rule: str) -> Column:
     return sum(((F.expr(measure) > float(v)).cast("int") for v in grid), F.lit(0))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", label: str = "quality") -> tuple[dict, list[str]]:
-    """Cutoffs, and the strata of their own, from documents with ``stats``. Labels of one key are averaged; null labels
-    and keys are not used. Only counts by stratum, rule and place in the grid reach the driver."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", label: str = "quality") -> DataFrame:
+    """Cutoffs from documents with ``stats``: ``cut_stratum`` and one column ``cut_<i>`` by rule, null without a cutoff;
+    broadcast unless strata are too many. Labels of one key are averaged; null labels and keys are not used."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg((F.avg(label) >= 0.5).alias("_good"))
     places = F.array(*(F.struct(F.lit(r).alias("rule"), _passed(r).alias("passed")) for r in RULES))
     name = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
     rows = docs.join(known, F.col(key) == F.col("_k")).select(name.alias("stratum"), "_good", F.explode(places).alias("at"))
     counted = rows.groupBy("stratum", "at.rule", "at.passed").agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad"))
-    totals = counted.where(F.col("rule") == next(iter(RULES))).groupBy("stratum").agg(F.sum("good").alias("n"))
-    own = [r["stratum"] for r in totals.orderBy(F.desc("n"), "stratum").limit(STRATA).collect()]
-    shared = F.when(F.col("stratum").isin(own), F.col("stratum"))
-    pooled = counted.groupBy(shared.alias("stratum"), "rule", "passed").agg(F.sum("good"), F.sum("bad")).collect()
-    strata = [*own, None]
-    return cutoffs({(r[0], r[1], r[2]): (r[3], r[4]) for r in pooled}, strata), own
+    # a stratum has as many counts as the grids have places
+    grouped, seen = settle(counted.groupBy("stratum").agg(F.collect_list(F.struct("rule", "passed", "good", "bad")).alias("counts")))
+    strata = seen["rows"]
+
+    def pick(batches):
+        for batch in batches:
+            found = [cutoffs({(c["rule"], c["passed"]): (c["good"], c["bad"]) for c in counts}, strata) for counts in batch.column(1).to_pylist()]
+            limits = [pa.array([f.get(rule) for f in found], pa.float64()) for rule in RULES]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *limits], names=["cut_stratum", *(f"cut_{i}" for i in range(len(RULES)))])
+
+    schema = ", ".join(["cut_stratum string", *(f"cut_{i} double" for i in range(len(RULES)))])
+    return small(settle(reachable(grouped).mapInArrow(pick, schema))[0], strata)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
@@ -104,13 +110,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     """
     slim = text_stats(docs.select(F.col(key).alias("_key"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text")), "_text").drop("_text")
     slim, _ = settle(slim)
-    chosen, own = learn(slim, labels.withColumnRenamed(key, "_key"), "_key", "_stratum")
-    name = F.coalesce(F.col("_stratum").cast("string"), F.lit(""))
+    chosen = learn(slim, labels.withColumnRenamed(key, "_key"), "_key", "_stratum")
+    slim = slim.join(chosen, F.coalesce(F.col("_stratum").cast("string"), F.lit("")) == F.col("cut_stratum"), "left")
     passes = F.lit(True)
-    for place, limits in chosen.items():
-        here = ~name.isin(own) if place is None else name == place
-        for rule, value in limits.items():
-            passes = passes & ~(here & (F.expr(RULES[rule][0]) > value))
+    for i, (measure, _) in enumerate(RULES.values()):
+        passes = passes & (F.col(f"cut_{i}").isNull() | ~(F.expr(measure) > F.col(f"cut_{i}")))
     failed = (F.col("stats.n_words") < 20) | (100 * F.col("stats.n_repeat_words") > 30 * F.col("stats.n_words"))
     base = [F.col(f"stats.{n}").alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return slim.select(F.col("_key").alias(key), *base, failed.alias("base_failed"), (~failed & passes).alias("kept"))

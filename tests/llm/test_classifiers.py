@@ -121,6 +121,29 @@ def test_rules_keep_good_documents(spark):
     assert all(r["kept"] != r["base_failed"] for r in rules.quality_rules(docs, labels.limit(0)).collect())
 
 
+def test_no_language_takes_cutoffs_certified_on_others(spark):
+    rng = random.Random(5)
+    docs, labels = [], []
+
+    def add(lang, shout, quality=None):
+        words = [rng.choice(WORDS) + rng.choice(["ab", "cd"]) for _ in range(30)]
+        docs.append((len(docs), " ".join(w.upper() if shout else w for w in words), lang))
+        if quality is not None:
+            labels.append((len(docs) - 1, quality))
+
+    for lang, n in [*((f"a{i}", 51) for i in range(32)), *((f"b{i}", 50) for i in range(26))]:  # 1,300 good ones in b
+        for _ in range(n):
+            add(lang, False, 1)
+    for _ in range(200):
+        add("b0", True, 0)
+    for _ in range(50):
+        add("xx", True)  # capitals are how this language is written; nothing in it is labelled
+    got = rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in got.collect()}
+    assert len(kept) == len(docs)
+    assert all(k != failed for k, failed in kept.values())  # no language has enough labels for a cutoff
+
+
 def test_certified_is_the_exact_bound():
     def exact(k, n, p):
         return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
