@@ -52,14 +52,17 @@ def _logit(p: Column) -> Column:
 def evidence(rows: DataFrame, labels: DataFrame, key: str, label: str = "quality") -> DataFrame:
     """``rows`` (with ``stats``) with ``evidence``, the regression's probability of good quality.
 
-    Labels of one key are averaged; null and held-out ones are not used. Labels of one kind only make that kind certain;
+    Labels of one key are averaged; null and held-out ones are not used. Of a key's rows the one whose counts have the
+    smallest hash is learnt from. Labels of one kind only make that kind certain;
     without labels the evidence is one half.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("_k")).agg((F.avg(label) >= 0.5).cast("double").alias("_good"))
     chosen = known.orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE)
     inputs = {name: F.expr(sql).cast("double") for name, sql in EVIDENCE.items()}
-    sample = rows.join(F.broadcast(chosen), F.col(key) == F.col("_k")).select("_good", *(x.alias(n) for n, x in inputs.items()))
+    sample = rows.join(F.broadcast(chosen), F.col(key) == F.col("_k")).select("_k", "_good", F.struct(*(x.alias(n) for n, x in inputs.items())).alias("_in"))
+    # one row of each key, so that repeated keys don't make the sample larger; combined before the shuffle
+    sample = sample.groupBy("_k", "_good").agg(F.min_by("_in", F.struct(F.xxhash64("_in"), "_in")).alias("_in")).select("_good", "_in.*")
     sample, seen = settle(sample.coalesce(4), good=F.avg("_good"))
     if not seen["rows"] or seen["good"] in (0.0, 1.0):
         return rows.withColumn("evidence", F.lit(0.5 if not seen["rows"] else seen["good"]))

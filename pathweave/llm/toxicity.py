@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     """The model: places and weights, at most ``BUCKETS`` + 1 of them, and a few thousand under L1.
 
     Labels of one key are averaged; null labels, null keys and keys that are held out are not used. Labelled documents
-    of a class beyond the sample count through the intercept. Without labels the model is empty.
+    of a class beyond the sample count through the intercept. Of a key's texts the one with the smallest hash is learnt
+    from. Without labels the model is empty.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
@@ -126,7 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     totals = known.groupBy("y").agg(F.greatest(F.lit(1.0), F.count(F.lit(1)) / SAMPLE_PER_CLASS).alias("w"))
     chosen = firsts[0].unionByName(firsts[1]).join(F.broadcast(totals), "y")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where(F.coalesce(F.length("t"), F.lit(0)) <= SAMPLE_CHARS)
-    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("k")).select("t", "y", "w", F.xxhash64("id", F.lit(1)).alias("o"))
+    # one text of each key, so that repeated keys don't make the sample larger; combined before the shuffle
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("k")).groupBy("k", "y", "w").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    sample = sample.select("t", "y", "w", F.xxhash64("k", F.lit(1)).alias("o"))
     one = sample.repartition(1).sortWithinPartitions("o", "t").select("t", "y", "w")
     rows = reachable(one).mapInArrow(_fit_task, "place long, weight double").collect()
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])

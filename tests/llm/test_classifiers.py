@@ -3,6 +3,7 @@ import zlib
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pathweave.llm import quality, rules, textstats, toxicity, urls
@@ -80,6 +81,29 @@ def test_ftrl_does_not_depend_on_how_many_labels_a_sample_stands_for():
     assert max(sizes) < 2_000 and max(sizes) <= 1.1 * min(sizes), sizes
 
 
+def _seen(settled, sizes, metrics):
+    sizes.extend([settled[1]["rows"]] if "good" in metrics else [])
+    return settled
+
+
+def _count_task(batches):
+    yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in batches)], pa.int64()), pa.array([0.0])], names=["place", "weight"])
+
+
+def test_repeated_keys_do_not_enlarge_the_sample(spark, monkeypatch):
+    docs, labels, truth, rows = labelled(spark, lambda rng, w: " ".join([*w[:20], "rotten", *w[20:]]), 200)
+    hot = next(r for r in rows if r[0] is not None and r[0] > 3 and r[0] < 180 and not out(r[0]))
+    more = spark.createDataFrame([(hot[0], f"{hot[1]} x{i % 3}", *hot[2:]) for i in range(300)], docs.schema)
+    sizes = []
+    kept = quality.settle
+    monkeypatch.setattr(quality, "settle", lambda df, **m: _seen(kept(df, **m), sizes, m))
+    quality.quality(docs.unionByName(more), labels)
+    usable = {r["doc_id"] for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None and not out(r["doc_id"])}
+    assert sizes == [len(usable)]
+    monkeypatch.setattr(toxicity, "_fit_task", _count_task)
+    assert toxicity.train(docs.unionByName(more), labels)[0].tolist() == [len(usable)]
+
+
 def plain_stats(text):
     text = text or ""
     ws = " \t\n\r\x0b\x0c"
