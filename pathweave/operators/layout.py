@@ -29,13 +29,13 @@ def _packed(edges: DataFrame, item: Column, longest: int) -> DataFrame:
     # at most one key per `longest` edges, found by counts that combine before the shuffle
     long = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > longest).select(*key)
     long, seen = settle(long)
-    pieces = edges.join(small(long, seen["rows"]), key, "left_anti").withColumn("piece", F.lit(0))
+    pieces = edges.join(small(long, seen), key, "left_anti").withColumn("piece", F.lit(0))
     if seen["rows"]:
         # only such keys are put in order
-        ranked = global_rank(edges.distinct().join(small(long, seen["rows"]), key, "left_semi"), [*key, "dst"], "_at")
+        ranked = global_rank(edges.distinct().join(small(long, seen), key, "left_semi"), [*key, "dst"], "_at")
         first = ranked.groupBy(*key).agg(F.min("_at").alias("_first"))
         piece = F.floor((F.col("_at") - F.col("_first")) / longest).cast("int")
-        ranked = ranked.join(small(first, seen["rows"]), key).withColumn("piece", piece)
+        ranked = ranked.join(small(first, seen), key).withColumn("piece", piece)
         pieces = pieces.unionByName(ranked.drop("_at", "_first"))
     return pieces.groupBy(*key, "piece").agg(F.sort_array(F.collect_set(item)).alias("dsts"))
 

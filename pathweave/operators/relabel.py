@@ -37,7 +37,7 @@ def _sizes(groups: DataFrame) -> DataFrame:
 
 def _by_size(groups: DataFrame) -> DataFrame:
     sizes, seen = settle(_sizes(groups))
-    return global_rank(groups.join(small(sizes, seen["rows"]), "part"), ["size", "part", "node"], "at").select("node", "at")
+    return global_rank(groups.join(small(sizes, seen), "part"), ["size", "part", "node"], "at").select("node", "at")
 
 
 def _members(groups: DataFrame) -> DataFrame:
@@ -45,13 +45,13 @@ def _members(groups: DataFrame) -> DataFrame:
     position in it. A group may be a third of all nodes, so positions come from global ranks less first ones, not from
     windows, and the table of groups is settled, which lets the joins broadcast it or split a group's nodes."""
     sizes, seen = settle(_sizes(groups))
-    ranked = global_rank(groups.join(small(sizes, seen["rows"]), "part"), ["size", "part", "node"], "_at")
+    ranked = global_rank(groups.join(small(sizes, seen), "part"), ["size", "part", "node"], "_at")
     firsts = ranked.groupBy("size", "part").agg(F.min("_at").alias("_first"))
     numbered = global_rank(firsts, ["size", "part"], "_number")
     lowest = numbered.groupBy("size").agg(F.min("_number").alias("_lowest"))
     numbered = numbered.join(lowest, "size").select("part", "_first", (F.col("_number") - F.col("_lowest")).alias("number"))
     numbered, _ = settle(numbered)
-    placed = ranked.join(small(numbered, seen["rows"]), "part")
+    placed = ranked.join(small(numbered, seen), "part")
     return placed.select("node", "size", "number", (F.col("_at") - F.col("_first")).alias("at"))
 
 

@@ -10,8 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a table may have to be broadcast: rows here are a few numbers wide, so this stays near 10 MB.
+# Rows and bytes a table may have to be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16_000_000
 # Static rows (edges) below which a loop is all fixed cost and takes few partitions.
 FEW_ROWS = 250_000
 # Static rows and accumulated rows (search states) wanted per partition: near 128 MB, a row being a few numbers wide.
@@ -43,15 +44,68 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row: what its strings hold, elements of its arrays, and eight for anything else."""
+    total = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind == "array":
+            total = total + 8 * F.greatest(F.size(column), F.lit(0))
+    return total + F.lit(8 * len(df.columns))
+
+
+def _observed(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    known = {"rows": F.count(F.lit(1)), "bytes": F.coalesce(F.sum(_width(df)), F.lit(0))}
+    return df.observe(seen, *(c.alias(name) for name, c in (known | metrics).items())), seen
+
+
 def settle(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-    """Checkpoint ``df`` and return it with its row count (and ``metrics``), all measured by the one writing job."""
+    """Checkpoint ``df`` and return it with its ``rows``, ``bytes`` and ``metrics``, all measured by the one writing job.
+
+    A checkpoint keeps partitioning and order, and also the size *estimate* of the plan it replaces. A loop that joins a
+    table with one made from itself squares that estimate in each round; such loops use :func:`store`.
+    """
     checkpoint_dir(df.sparkSession)
-    seen = Observation()
-    columns = [F.count(F.lit(1)).alias("rows")] + [c.alias(name) for name, c in metrics.items()]
-    stored = df.observe(seen, *columns).checkpoint(eager=True)
+    observed, seen = _observed(df, metrics)
+    stored = observed.checkpoint(eager=True)
     return stored, seen.get
 
 
+class Store:
+    """The tables of a loop, written to the shared folder: their estimates are the sizes of their files, whatever they
+    were made from. A table is dropped when the loop says that it has a successor."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+
+    def put(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        path = scratch_path(self.spark, self.name)
+        observed, seen = _observed(df, metrics)
+        observed.write.parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        stored.stored_at = path
+        return stored, seen.get
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that nothing refers to any more."""
+        for path in {getattr(t, "stored_at", None) for t in tables} - {None}:
+            remove(self.spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def store(df: DataFrame, name: str = "table", **metrics: Column) -> tuple[DataFrame, dict]:
+    """As :func:`settle`, by a written table, for loops that join tables with themselves."""
+    return Store(df.sparkSession, name).put(df, **metrics)
+
+
 def parts_for(spark: SparkSession, rows: int) -> int:
     """Partitions for a loop over ``rows`` static rows: few for a small input, whose rounds are all fixed cost, else by
     size and at least one per core."""
@@ -61,9 +115,11 @@ def parts_for(spark: SparkSession, rows: int) -> int:
     return max(cores, math.ceil(rows / EDGES_PER_PART))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a table of known size; larger ones are left to a shuffle join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, seen: dict | int) -> DataFrame:
+    """Broadcast hint for a table of measured size, given as what :func:`settle` saw, or as rows where a row is a few
+    numbers; larger ones are left to a shuffle join."""
+    rows, size = (seen, 0) if isinstance(seen, int) else (seen["rows"], seen["bytes"])
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 @contextmanager

@@ -88,7 +88,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     splits, seen = settle(splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
-    placed = lines.join(small(splits, seen["rows"]), ["_file", "_start"])
+    placed = lines.join(small(splits, seen), ["_file", "_start"])
     return placed.select((F.col("_id") - F.col("_first") + F.col("_before")).alias("node"), F.col("value").alias("line"))
 
 
