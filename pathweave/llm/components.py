@@ -11,17 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.session import settle
+from pathweave.session import Store, settle
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for each node that has a link: ``root`` is the smallest node of its component."""
     turned = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))  # with the count: did a round change anything?
-    links, seen = settle(turned, mark=mark)
+    # written tables: a round joins the links with minima of themselves, and checkpoints would square its size estimate
+    tables = Store(links.sparkSession, "links")
+    links, seen = tables.put(turned, mark=mark)
     while seen["rows"]:
-        before = seen
-        links, seen = settle(_smaller(_larger(links)), mark=mark)
+        before, old = seen, links
+        hung, _ = tables.put(_larger(links))
+        links, seen = tables.put(_smaller(hung), mark=mark)
+        tables.drop(old, hung)
         if seen == before:
             break
     return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(

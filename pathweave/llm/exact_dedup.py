@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.llm.text import lower_ascii
-from pathweave.session import settle
+from pathweave.session import settle, store
 
 #: Characters in a block.
 BLOCK = 256
@@ -62,7 +62,8 @@ def _deep_names(docs: DataFrame) -> DataFrame:
             # repeated rows of one document become one row that counts for them
             F.sum(F.when(side == 0, F.col("_times"))).alias("_times"),
         )
-        pairs, seen = settle(pairs, last=F.max("_at"))
+        # a level joins pairs with names made from them: a written table, whose size estimate is that of its files
+        pairs, seen = store(pairs, "pairs", last=F.max("_at"))
         # an unnamed part leaves no pair to look up
         named = _named(pairs.where("not _alone"), ["_left", "_right"], "_name")
         alone = pairs.where("_alone").withColumn("_name", F.lit(None).cast("long"))

@@ -72,7 +72,7 @@ def plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     the last ``(rank, id)`` that gets one more (null: none)."""
     whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int")
     sources, seen = settle(targets(slim, weights).withColumn("whole", whole))
-    sources = small(sources, seen["rows"])
+    sources = small(sources, seen)
     lacking = sources.where(F.col("target") - F.col("whole") * F.col("source_size") > 0)
     names = lacking.withColumnRenamed("source", "of")
     ranked = slim.join(names, F.col("source").eqNullSafe(F.col("of"))).where("size > 0")
@@ -109,7 +109,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text
     """
     slim, _ = settle(_slim(docs, text, key, source))
     sources, seen = settle(plan(slim, weights))
-    rows = slim.join(small(sources.withColumnRenamed("source", "of"), seen["rows"]), F.col("source").eqNullSafe(F.col("of")))
+    rows = slim.join(small(sources.withColumnRenamed("source", "of"), seen), F.col("source").eqNullSafe(F.col("of")))
     taken = (_copies() * F.col("size")).cast("long")
     return rows.select(F.col("id").alias(key), "size", "source_size", "target", taken.alias("taken"))
 
@@ -120,6 +120,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text",
     sources, seen = settle(plan(slim, weights))
     whole = F.struct(*docs.columns).alias("row")
     named = docs.select(whole, F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rows = named.join(small(sources.withColumnRenamed("source", "of"), seen["rows"]), F.col("source").eqNullSafe(F.col("of")))
+    rows = named.join(small(sources.withColumnRenamed("source", "of"), seen), F.col("source").eqNullSafe(F.col("of")))
     copies = rows.select("row", _copies().alias("n")).where("n > 0")
     return copies.select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")

@@ -111,7 +111,7 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     rows, _ = settle(evidence(slim, labels.withColumnRenamed(key, "_key"), "_key").select("_key", "host", "path", "evidence"))
     sites, pull, mean = posteriors(rows)
     sites, seen = settle(sites)
-    sites = small(sites.withColumnRenamed("host", "_host").withColumnRenamed("path", "_path"), seen["rows"])
+    sites = small(sites.withColumnRenamed("host", "_host").withColumnRenamed("path", "_path"), seen)
     joined = rows.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
     others = (F.col("s") - F.col("evidence") + F.lit(pull) * F.col("host_score")) / (F.col("n") - 1 + F.lit(pull))
     scored = joined.withColumn("path_score", others)

@@ -99,7 +99,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *limits], names=["cut_stratum", *(f"cut_{i}" for i in range(len(RULES)))])
 
     schema = ", ".join(["cut_stratum string", *(f"cut_{i} double" for i in range(len(RULES)))])
-    return small(settle(reachable(grouped).mapInArrow(pick, schema))[0], strata)
+    return small(*settle(reachable(grouped).mapInArrow(pick, schema)))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:

@@ -107,14 +107,14 @@ def features(urls: DataFrame) -> DataFrame:
     return urls.withColumns(lexical | suffixes)
 
 
-def _rates(known: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Labelled and blocked URLs by suffix, combined before the shuffle, and the number of suffixes."""
+def _rates(known: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """Labelled and blocked URLs by suffix, combined before the shuffle, and the size of that table."""
     suffix = F.substring_index("host", ".", SUFFIXES[name]).alias(name)
     table, seen = settle(known.groupBy(suffix).agg(F.sum("n").alias(f"{name}_n"), F.sum("b").alias(f"{name}_b")))
-    return table, seen["rows"]
+    return table, seen
 
 
-def _with_rates(rows: DataFrame, tables: dict[str, tuple[DataFrame, int]], rate: float, own: bool) -> DataFrame:
+def _with_rates(rows: DataFrame, tables: dict[str, tuple[DataFrame, dict]], rate: float, own: bool) -> DataFrame:
     """``rows`` with the suffixes' smoothed rates; ``own``: without the labels ``n`` and ``b`` of the rows' own URL."""
     for name, (table, size) in tables.items():
         less_n, less_b = (F.col("n"), F.col("b")) if own else (F.lit(0.0), F.lit(0.0))
