@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import exact_dedup, mixing, packing, pii, quality, rules, secrets, simhash, toxicity, urls
+from pathweave.llm import exact_dedup, merkle, mixing, packing, pii, quality, rules, secrets, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proof_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
@@ -69,8 +73,40 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op13_merkle": op13_merkle,
 }
 
+
+
+def _field(sql: str) -> str:
+    return f"coalesce(strlen({sql}) || ':' || {sql}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id::varchar", "source", "lang", "n_chars::varchar", text))) + ")"
+
+
+def _up(name: str, source: str) -> str:
+    """All nodes of trees, level by level."""
+    return f"""{name}(tree, level, pos, digest) as (
+          select tree, 0, pos, digest from {source} union all
+          select tree, level + 1, pos // 8, sha256(string_agg(digest, '' order by pos))
+          from (select *, count(*) over (partition by tree) as n from {name}) where n > 1 group by tree, level, pos // 8)"""
+
+
+def _way(name: str, source: str, nodes: str) -> str:
+    """From each leaf to its root: siblings so far, and what folding gives."""
+    return f"""{name}(r, tree, level, pos, siblings, folded) as (
+          select r, tree, 0, pos, siblings, folded from {source} union all
+          select p.r, p.tree, p.level + 1, p.pos // 8, p.siblings || coalesce(string_agg(case when n.pos <> p.pos then n.digest end, '' order by n.pos), ''),
+                 sha256(string_agg(case when n.pos = p.pos then p.folded else n.digest end, '' order by n.pos))
+          from {name} p join {nodes} n on n.tree = p.tree and n.level = p.level and n.pos // 8 = p.pos // 8
+          where p.level < (select max(level) from {nodes} m where m.tree = p.tree)
+          group by p.r, p.tree, p.level, p.pos, p.siblings, p.folded)"""
+
+
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
     "op7_mixing": r"""
         with recursive docs as (
@@ -108,4 +144,30 @@ ORACLES = {
         from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
               from documents)
         window same as (partition by t)""",
+    "op13_merkle": f"""
+        with recursive crc(i, k, c) as (
+          select i, 0, i from range(256) g(i) union all
+          select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where k < 8),
+        tab as (select list(c order by i) as t from crc where k = 8),
+        docs as (
+          select doc_id, coalesce('=' || lang, '') as tree, {_leaf("text")} as leaf, {_leaf(_LOW)} as low,
+                 xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 as change
+          from documents, tab),
+        leaves as (
+          select row_number() over () as r, doc_id, tree, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos,
+                 leaf as digest, '' as siblings, case when change then low else leaf end as folded from docs),
+        {_up("nodes", "leaves")},
+        {_way("ways", "leaves", "nodes")},
+        subroots as (select n.tree as name, 'all' as tree, row_number() over (order by n.tree) - 1 as pos, n.digest
+                     from nodes n where n.level = (select max(level) from nodes m where m.tree = n.tree)),
+        {_up("tops", "subroots")},
+        inner_ends as (select w.r, 'all' as tree, s.pos, w.siblings, w.folded from ways w join subroots s on s.name = w.tree
+                       where w.level = (select max(level) from nodes m where m.tree = w.tree)),
+        {_way("over", "inner_ends", "tops")},
+        root as (select digest from tops where level = (select max(level) from tops))
+        select l.doc_id, l.digest as leaf, s.digest as subroot, root.digest as root, sha256(o.siblings) as proof_sha256, o.folded as folded_root,
+               o.folded = root.digest as verified
+        from leaves l join subroots s on s.name = l.tree join over o on o.r = l.r, root
+        where o.level = (select max(level) from tops)""",
 }
