@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import alignment, exact_dedup, merkle, mixing, packing, pii, quality, rules, secrets, simhash, toxicity, urls
+from pathweave.llm import alignment, exact_dedup, merkle, mixing, packing, pii, prefix_join, quality, rules, secrets, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(_table(spark, sf_dir, "documents"), byte_bpe(), piece_bpe())
 
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_join": op11_prefix_join,
     "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }

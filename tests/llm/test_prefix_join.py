@@ -1,0 +1,127 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from pathweave.llm import prefix_join
+from tests.llm.test_dedup import lower
+
+SCHEMA = "doc_id long, text string, node string, n string, hash string"
+WORDS = [f"w{i}" for i in range(250)]
+
+
+def plain_set(text):
+    words = lower(text).encode().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def linked(a, b):
+    return bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+
+
+def plain(rows):
+    """Classes by comparing all pairs of sets."""
+    sets = [plain_set(r[1]) for r in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if linked(a, sets[j]):
+                up[root(i)] = root(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[root(i)] = min(r[0], least.get(root(i), r[0]))
+    return sorted(((r[0], len(s), least.get(root(i)) if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets))), key=str)
+
+
+def corpus(seed=4, groups=14, members=9):
+    """Groups whose members differ from their base by a few words, near the limit too, and passages that many share."""
+    rng = random.Random(seed)
+    passage = [rng.choice(WORDS) for _ in range(60)]
+    rows = []
+    for _ in range(groups):
+        base = [rng.choice(WORDS) for _ in range(rng.choice((6, 40, 160, 420)))]
+        for _ in range(members):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(own) // 28))):
+                own[rng.randrange(len(own))] = rng.choice(WORDS)
+            if rng.random() < 0.3:
+                own = own[: len(own) * rng.randint(75, 100) // 100]
+            if rng.random() < 0.4:
+                own += passage
+            rows.append((len(rows), " ".join(own)))
+    awkward = [(None, "a b c d e f"), (900, "A  b\nC d e F"), (901, None), (902, ""), (903, " \n"), (904, "a b c"), (905, "A B c"), (906, "a b c d"), (907, "a"), (908, "a"), (909, None),
+               (5, rows[5][1]), (5, rows[5][1]), (5, "another text under the same key here"), (910, "long " + "x y z " * 30_000), (911, "long " + "x y z " * 30_000 + "q")]
+    return rows + awkward
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+
+
+def test_components_equal_comparing_all_pairs(spark):
+    rows = corpus()
+    want = plain(rows)
+    assert len({w[2] for w in want}) < len({w[0] for w in want}) - 30
+    assert sorted((tuple(r) for r in prefix_join.jaccard_components(frame(spark, rows).repartition(4)).collect()), key=str) == want
+
+
+def pieces(spark, rows):
+    own = frame(spark, rows).select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
+    classes = spark.sparkContext.broadcast(prefix_join.frequency_classes(own))
+    slim = own.mapInArrow(prefix_join._prefixes(classes), "id long, hash long, n long, node long, prefix array<long>, least array<long>").cache()
+    known = slim.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("hash").alias("hash"))
+    return slim.where("prefix is not null"), own, known, classes
+
+
+def check_all_links(spark, rows):
+    """Prefixes alone, without classes found before, give every link between different sets."""
+    sets = {}
+    for r in rows:
+        s = plain_set(r[1])
+        if s:
+            sets[prefix_join.identity(prefix_join.shingles(r[1].encode()))] = s
+    names = sorted(sets)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1:] if linked(sets[a], sets[b])}
+    new, own, known, classes = pieces(spark, rows)
+    none = spark.createDataFrame([], "a long, b long")
+    found = {tuple(sorted((r["a"], r["b"]))) for r in prefix_join.links_by_prefixes(new, own, known, classes, none).collect()}
+    assert len(want) > 40 and found == want
+
+
+def test_prefixes_lose_no_link(spark, monkeypatch):
+    check_all_links(spark, corpus(6))
+    # crowded n-grams are cut into cells, and candidates into several tries
+    monkeypatch.setattr(prefix_join, "SHARE", 2)
+    monkeypatch.setattr(prefix_join, "CANDIDATES", 3)
+    check_all_links(spark, corpus(7, groups=4, members=20))
+
+
+def test_an_empty_table(spark):
+    assert prefix_join.jaccard_components(frame(spark, [])).count() == 0
+    assert [tuple(r) for r in prefix_join.jaccard_components(frame(spark, [(4, None)])).collect()] == [(4, 0, 4)]
+
+
+def test_walk_equals_counting():
+    rng = np.random.default_rng(3)
+    hits = 0
+    for _ in range(300):
+        base = rng.choice(1000, rng.integers(1, 120), replace=False)
+        probe = np.unique(base).astype(np.uint64)[::-1]
+        sets = []
+        for _ in range(rng.integers(1, 30)):
+            own = base.copy()
+            change = rng.random(len(own)) < rng.choice([0.0, 0.05, 0.1, 0.5])
+            own[change] = rng.integers(0, 1500, change.sum())
+            own = own[: max(1, len(own) * rng.integers(60, 101) // 100)]
+            sets.append(np.unique(np.concatenate((own, rng.integers(0, 1500, rng.integers(0, 12))))).astype(np.uint64)[::-1])
+        want = [i for i, s in enumerate(sets) if linked(set(probe.tolist()), set(s.tolist()))]
+        assert sorted(prefix_join.walk(probe, sets)) == want
+        hits += len(want)
+    assert hits > 500
