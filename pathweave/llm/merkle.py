@@ -165,9 +165,9 @@ def _tree_nodes(leaves: DataFrame, most: int) -> DataFrame:
         rows = tops.join(small(counts, seen), "tree")
 
 
-def _trees(leaves: DataFrame) -> tuple[DataFrame, DataFrame, int, dict]:
-    """Of ``leaves`` ``(tree, position, digest)``: ``(tree, size, root)`` of each tree, their nodes above the leaves, the
-    size of the largest, and what the first table holds."""
+def _trees(leaves: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """Of ``leaves`` ``(tree, position, digest)``: ``(tree, size, root)`` of each tree, their nodes above the leaves, and
+    what was measured of the first table."""
     sizes, seen = settle(leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("size")), most=F.max("size"))
     most = seen["most"] or 0
     nodes = _tree_nodes(leaves.join(small(sizes, seen), "tree"), most)
@@ -175,12 +175,12 @@ def _trees(leaves: DataFrame) -> tuple[DataFrame, DataFrame, int, dict]:
     # a root has position 0 on the highest level of its tree
     tops = every.where("position = 0").groupBy("tree").agg(F.max(F.struct("level", "digest")).alias("top"))
     roots, seen = settle(sizes.join(tops, "tree").select("tree", "size", F.col("top.digest").alias("root")))
-    return roots, nodes, most, seen
+    return roots, nodes, seen
 
 
 def _proofs(wanted: DataFrame, leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Proofs inside their trees of ``wanted`` ``(tree, position, digest, other, size)``: ``(tree, position, siblings,
-    folded)``, the siblings joined in one string.
+    """Proofs inside their trees of ``wanted`` ``(tree, position, digest, other, size, key)``: ``(tree, key, digest,
+    siblings, folded)``, the siblings joined in one string.
 
     A leaf partition asks for its missing nodes once, in one row each; the answers join it in the order of its rows.
     """
@@ -199,26 +199,29 @@ def _proofs(wanted: DataFrame, leaves: DataFrame, nodes: DataFrame) -> DataFrame
     every = leaves.select("tree", F.lit(0).alias("level"), "position", "digest").unionByName(nodes)
     # partitions that want all their leaves ask for nothing on low levels, which then aren't read
     answers = requests.join(every.where(F.col("level") >= (seen["lowest"] or 0)), ["tree", "level", "position"])
-    none = F.lit(None).cast("string")
-    rows = wanted.select("tree", block, F.lit(-1).alias("level"), "position", "digest", "other", "size").unionByName(
-        answers.select("tree", "block", "level", "position", "digest", none.alias("other"), F.lit(0).cast("long").alias("size")))
+    kind = wanted.schema["key"].dataType.simpleString()
+    rows = wanted.select("tree", block, F.lit(-1).alias("level"), "position", "digest", "other", "size", "key").unionByName(
+        answers.select("tree", "block", "level", "position", "digest", F.lit(None).cast("string").alias("other"), F.lit(0).cast("long").alias("size"), F.lit(None).cast(kind).alias("key")))
     rows = rows.repartition("tree", "block").sortWithinPartitions("tree", "block", "level", "position")
 
     def prove(batches):
         for (tree, _), table in _groups(batches, 2):
             level, position = table.column(2).to_pylist(), table.column(3).to_pylist()
             digest, other, size = table.column(4).to_pylist(), table.column(5).to_pylist(), table.column(6)[0].as_py()
-            own = level.count(-1)  # they come first
+            own = level.count(-1)  # they come first, in the order of their positions
             held = {position[i]: (digest[i], other[i]) for i in range(own)}
             fetched = {(level[i], position[i]): digest[i] for i in range(own, len(level))}
-            out = list(expand(held, fetched, size))
-            for at in range(0, len(out), 4096):
-                part = out[at:at + 4096]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([tree] * len(part), pa.string()), pa.array([x[0] for x in part], pa.int64()), pa.array(["".join(x[1]) for x in part], pa.string()), pa.array([x[2] for x in part], pa.string())],
-                    names=["tree", "position", "siblings", "folded"])
+            keys, out, at = table.column(7).combine_chunks(), [], 0
+            for _, siblings, folded in expand(held, fetched, size):
+                out.append(("".join(siblings), folded))
+                if len(out) == 2048 or at + len(out) == own:
+                    n = len(out)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([tree] * n, pa.string()), keys.slice(at, n), pa.array(digest[at:at + n], pa.string()), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())],
+                        names=["tree", "key", "digest", "siblings", "folded"])
+                    at, out = at + n, []
 
-    return reachable(rows).mapInArrow(prove, "tree string, position long, siblings string, folded string")
+    return reachable(rows).mapInArrow(prove, f"tree string, key {kind}, digest string, siblings string, folded string")
 
 
 # -- the manifest ------------------------------------------------------------------------------------------------------
@@ -244,37 +247,29 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "do
     change = tampered(F.col(key)) if change is None else change
     # no null, and in the order of the groups
     tree = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
-    own = docs.select(F.col(key).alias("_key"), tree.alias("tree"), leaf_digest(named).alias("digest"), F.when(change, leaf_digest(low)).alias("other"))
-    ranked = global_rank(own, ["tree", F.col("_key").asc_nulls_first(), "digest"], "_at")
-    ranked, _ = settle(ranked)
+    own, _ = settle(docs.select(F.col(key).alias("key"), tree.alias("tree"), leaf_digest(named).alias("digest"), F.when(change, leaf_digest(low)).alias("other")))
+    ranked, _ = settle(global_rank(own, ["tree", F.col("key").asc_nulls_first(), "digest"], "_at"))
     firsts, seen = settle(ranked.groupBy("tree").agg(F.min("_at").alias("_first")))
-    leaves = ranked.join(small(firsts, seen), "tree").select("_key", "tree", (F.col("_at") - F.col("_first")).alias("position"), "digest", "other")
-    leaves, _ = settle(leaves)
+    leaves = ranked.join(small(firsts, seen), "tree").select("key", "tree", (F.col("_at") - F.col("_first")).alias("position"), "digest", "other")
     bare = leaves.select("tree", "position", "digest")
-    roots, nodes, most, held = _trees(bare)
-    wanted = leaves.select("tree", "position", "digest", "other").join(small(roots.select("tree", "size"), held), "tree")
+    roots, nodes, held = _trees(bare)
+    wanted = leaves.join(small(roots.select("tree", "size"), held), "tree")
     inside = _proofs(wanted, bare, nodes)
 
     # the tree over the groups' roots, whose leaves are all wanted too
-    upper = global_rank(roots.select(F.col("tree").alias("group"), F.col("root").alias("digest")), ["group"], "position").withColumn("tree", F.lit(""))
-    upper, _ = settle(upper)
+    upper = global_rank(roots.select(F.col("tree").alias("key"), F.col("root").alias("digest")), ["key"], "position").withColumn("tree", F.lit(""))
+    upper, count = settle(upper)
     flat = upper.select("tree", "position", "digest")
-    top, top_nodes, _, _ = _trees(flat)
-    all_in = flat.withColumn("other", F.lit(None).cast("string")).join(F.broadcast(top.select("tree", "size")), "tree")  # one row
-    over = _proofs(all_in, flat, top_nodes).select("position", F.col("siblings").alias("above"), F.col("folded").alias("root"))
-    over = upper.select(F.col("group").alias("tree"), "position", F.col("digest").alias("subroot")).join(over, "position").drop("position")
-    over, seen = settle(over.join(roots.select("tree", "size"), "tree"))
-
-    proofs = leaves.select("_key", "tree", "position", F.col("digest").alias("leaf")).join(inside, ["tree", "position"]).join(small(over, seen), "tree")
-    proofs = proofs.withColumn("proof", F.concat("siblings", "above"))
-    # siblings above a subroot, in the order of the subroots' runs, are folded on from it where it changed
-    changed = proofs.where("folded <> subroot")
-    same = proofs.where("folded = subroot").withColumn("folded_root", F.col("root"))
-    places = upper.select(F.col("group").alias("tree"), F.col("position").alias("place"))
-    count, seen_places = settle(places)
-    fold = changed.join(small(count, seen_places), "tree").withColumn("folded_root", _fold_on("folded", "above", "place", seen_places["rows"]))
-    kept = ["_key", "leaf", "subroot", "root", "proof", "folded_root"]
-    return same.select(*kept).unionByName(fold.select(*kept)).withColumnRenamed("_key", key)
+    top, top_nodes, _ = _trees(flat)
+    all_in = upper.withColumn("other", F.lit(None).cast("string")).join(F.broadcast(top.select("tree", "size")), "tree")  # one row
+    over = _proofs(all_in, flat, top_nodes).select(F.col("key").alias("tree"), F.col("digest").alias("subroot"), F.col("siblings").alias("above"), F.col("folded").alias("root"))
+    over, seen = settle(over.join(upper.select(F.col("key").alias("tree"), F.col("position").alias("place")), "tree"))
+
+    proofs = inside.join(small(over, seen), "tree")
+    # a changed subroot is folded on with the siblings above it
+    folded_root = F.when(F.col("folded") == F.col("subroot"), F.col("root")).otherwise(_fold_on("folded", "above", "place", count["rows"]))
+    return proofs.select(
+        F.col("key").alias(key), F.col("digest").alias("leaf"), "subroot", "root", F.concat("siblings", "above").alias("proof"), folded_root.alias("folded_root"))
 
 
 def _fold_on(digest: str, siblings: str, place: str, n: int) -> Column:
