@@ -22,10 +22,10 @@ def components(links: DataFrame) -> DataFrame:
     tables = Store(links.sparkSession, "links")
     links, seen = tables.put(turned, mark=mark)
     while seen["rows"]:
-        before, old = seen, links
+        before = seen
         hung, _ = tables.put(_larger(links))
         links, seen = tables.put(_smaller(hung), mark=mark)
-        tables.drop(old, hung)
+        tables.keep(links)
         if seen == before:
             break
     return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
