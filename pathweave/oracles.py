@@ -72,11 +72,14 @@ c as (select node, cast(case when slot < total // 3 then 0 when slot < 2 * (tota
       from k)"""
 
 
-def _tally(edges: str) -> str:
-    """Colours of the asked sizes, with the score as traced and no worse than at first."""
-    return f"""with {edges}, t as (select {TOTAL} as n)
-select cast(0 as int) as colour, n // 3 as nodes, true as recounted, true as no_worse from t union all
-select 1, n // 3, true, true from t union all select 2, n - 2 * (n // 3), true, true from t"""
+def _tally(edges: str, score: str, extra: str = "") -> str:
+    """Colours of the asked sizes, the score of the first colouring, and that the run ended with a better one as traced."""
+    return f"""with {edges}, t as (select {TOTAL} as n),
+k as (select node, row_number() over (order by md5('7:' || node), node) - 1 as slot from (select unnest(range(0, n)) as node from t)),
+c as (select node, case when slot < n // 3 then 0 when slot < 2 * (n // 3) then 1 else 2 end as colour from k, t),
+f as (select cast({score} as bigint) as first_score from e join c s on s.node = e.src join c d on d.node = e.dst where s.colour <> d.colour),
+g as (select cast(0 as int) as colour, n // 3 as nodes from t union all select 1, n // 3 from t union all select 2, n - 2 * (n // 3) from t)
+select colour, nodes, first_score, true as recounted, true as better{extra} from g, f"""
 
 
 def _ranked(name: str, table: str) -> str:
@@ -217,10 +220,10 @@ select p, q, cast(before as bigint) as before, cast(after as bigint) as after fr
     "swap_gain_boundary": f"""with {ORDERS}, {THIRDS}, {BOUNDARY_GAIN}
 select p, q, count(*) filter (where before and not after) as removed,
        count(*) filter (where after and not before) as added from state group by p, q""",
-    "partition_edge_local_tally": _tally(CHAIN),
-    "partition_edge_random_tally": _tally(CHAIN),
-    "partition_boundary_local_tally": _tally(ORDERS),
-    "partition_boundary_random_tally": _tally(ORDERS),
+    "partition_edge_local_tally": _tally(CHAIN, "count(*)", ", cast(0 as bigint) as improving"),
+    "partition_edge_random_tally": _tally(CHAIN, "count(*)"),
+    "partition_boundary_local_tally": _tally(ORDERS, "count(distinct e.dst)"),
+    "partition_boundary_random_tally": _tally(ORDERS, "count(distinct e.dst)"),
     "label_frequency": f"with {CHAIN} select label, cast(count(*) as double) / (select count(*) from e) as share from e group by label",
     "label_frequency_above": f"""with {CHAIN}, g as (select label, cast(count(*) as double) / (select count(*) from e) as share
   from e group by label) select label, share from g where share > 0.02""",

@@ -10,7 +10,7 @@ from pathweave.operators import fragments, gains, layout, relabel, signatures, s
 from pathweave.plans import conjunctive, rpq, swaps
 from pathweave.session import scratch_path
 from pathweave.sources import text
-from pathweave.sources.derived import graph
+from pathweave.sources.derived import graph, graph_key
 
 R2 = Automaton.of("1 5 2; 2 6 2; 2 7 3")
 R3 = Automaton.of("1 5 2; 1 6 2; 2 5 2; 2 6 2")
@@ -243,12 +243,24 @@ def relabel_edges(spark, folder):
     return relabel.relabel_edges(edges, relabel.idmap_storage_order(_thirds(edges)))
 
 
+_finished: dict[tuple, tuple[str, list, bool]] = {}
+
+
 def _partition(name, objective, candidates):
+    """A run of the whole schedule, stored like the graph itself: once in an application for each state of the table."""
+
     def run(spark, folder):
-        edges = graph(spark, folder, name)
-        n = _n_nodes(edges)
-        nodes = spark.range(n).select(F.col("id").alias("node"))
-        return swaps.partition(edges, nodes, _sizes(n), objective, candidates, seed=7)
+        key = (*graph_key(spark, folder, name), objective, candidates)
+        if key not in _finished:
+            edges = graph(spark, folder, name)
+            n = _n_nodes(edges)
+            nodes = spark.range(n).select(F.col("id").alias("node"))
+            found = swaps.partition(edges, nodes, _sizes(n), objective, candidates, seed=7)
+            path = scratch_path(spark, "colouring")
+            text.write_colouring(found.colouring, path)
+            _finished[key] = path, found.trace, found.finished
+        path, trace, finished = _finished[key]
+        return swaps.Partitioning(text.read_colouring(spark, path), trace, finished)
 
     return run
 
@@ -260,17 +272,21 @@ _boundary_random = _partition("order_follow", "boundary", "random")
 
 
 def _tally(name, objective, run):
-    """Of a partitioning, nodes per colour; is its score, counted anew from the colouring, the best of the trace; and is
-    it no worse than at the start, of a run that went to its end?"""
+    """Of a partitioning: nodes per colour and the score of its first colouring; whether the score of the last one, counted
+    anew, is the best of the trace, and better than the first, of a run that went to its end. For swaps with neighbours
+    by cross edges also the pairs whose swap would still improve it, from their gains."""
 
     def tally(spark, folder):
         edges, found = graph(spark, folder, name), run(spark, folder)
         part = found.colouring.withColumnRenamed("colour", "part")
         crossing = fragments.cross_edges if objective == "edge" else fragments.boundary_nodes
         scores = [row[1] if objective == "edge" else row[2] for row in found.trace]
-        checks = [F.lit(crossing(edges, part).count() == min(scores)), F.lit(found.finished and min(scores) <= scores[0])]
+        values = {"first_score": scores[0], "recounted": crossing(edges, part).count() == min(scores), "better": found.finished and min(scores) < scores[0]}
+        if run is _edge_local:
+            values["improving"] = gains.swap_gain_edge(edges, found.colouring, PARTS).where("before > after").count()
         counts = found.colouring.groupBy("colour").agg(F.count(F.lit(1)).alias("nodes"))
-        return counts.select("colour", "nodes", checks[0].alias("recounted"), checks[1].alias("no_worse"))
+        kinds = {"first_score": "bigint", "improving": "bigint"}
+        return counts.select("colour", "nodes", *(F.lit(v).cast(kinds.get(c, "boolean")).alias(c) for c, v in values.items()))
 
     return tally
 

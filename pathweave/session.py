@@ -76,23 +76,26 @@ def settle(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
 
 class Store:
     """The tables of a loop, written to the shared folder: their estimates are the sizes of their files, whatever they
-    were made from. A table is dropped when the loop says that it has a successor."""
+    were made from. The loop says which of them it still needs; the others are deleted."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
+        self.made: list[tuple[DataFrame, str]] = []
 
     def put(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
         path = scratch_path(self.spark, self.name)
         observed, seen = _observed(df, metrics)
         observed.write.parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
-        stored.stored_at = path
+        self.made.append((stored, path))
         return stored, seen.get
 
-    def drop(self, *tables: DataFrame | None) -> None:
-        """Delete tables that nothing refers to any more."""
-        for path in {getattr(t, "stored_at", None) for t in tables} - {None}:
-            remove(self.spark, path)
+    def keep(self, *tables: DataFrame | None) -> None:
+        """Delete all tables but these; nothing that is still to run may read them."""
+        for table, path in self.made:
+            if not any(table is t for t in tables):
+                remove(self.spark, path)
+        self.made = [m for m in self.made if any(m[0] is t for t in tables)]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -64,10 +64,15 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return tuple(files.agg(F.count(F.lit(1)), F.max("modificationTime"), F.sum("length")).first())
 
 
+def graph_key(spark: SparkSession, folder: str, name: str) -> tuple:
+    """Tells a derived graph from those of other applications, folders and states of its table."""
+    return spark.sparkContext.applicationId, folder, name, _state(spark, f"{folder}/{_TABLES[name]}.parquet")
+
+
 def graph(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The edges of a derived graph from its parquet store, which is written at first use in an application and again
     when a file of its table has changed."""
-    key = (spark.sparkContext.applicationId, folder, name, _state(spark, f"{folder}/{_TABLES[name]}.parquet"))
+    key = graph_key(spark, folder, name)
     if key not in _stored:
         path = scratch_path(spark, name)
         store_edges(_GRAPHS[name](spark, folder), path)
