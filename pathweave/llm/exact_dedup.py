@@ -76,7 +76,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     ``text_sha256`` (of the normalised text).
 
     Of equal texts the row with the largest key stays; of rows with that key one, whichever. A null text is empty, and
-    empty texts are equal. A null key loses to any other and gives a null ``keep_id`` only where the whole group has
+    empty texts are equal; very long ones are compared whole. A null key loses to any other and gives a null ``keep_id`` only where the whole group has
     none. Other columns are not read. An empty table gives an empty one.
     """
     base = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))

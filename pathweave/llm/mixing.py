@@ -104,7 +104,8 @@ def _slim(docs: DataFrame, text: str, key: str, source: str) -> DataFrame:
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """One row per row of ``docs``: ``key``, ``size``, ``source_size``, ``target`` (of its source), ``taken``.
 
-    Rows that repeat key, source and size are taken alike. A null text has size 0 and gives no words, a null source is a
+    Rows that repeat key, source and size are taken alike. A very long text is counted whole, and taken whole or not at
+    all. A null text has size 0 and gives no words, a null source is a
     source, the last one. Other columns are not read. An empty table gives an empty one.
     """
     slim, _ = settle(_slim(docs, text, key, source))

@@ -207,7 +207,8 @@ def pack(cut: DataFrame, order: list[str], length: int = LENGTH) -> DataFrame:
 
 def packed(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per piece of ``docs``: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``,
-    ``offset`` and, if wanted, the token ``ids``. Repeated rows are documents of their own; other columns are not read.
+    ``offset`` and, if wanted, the token ``ids``. A null text counts as empty; a very long one becomes many pieces, none is
+    cut short. Repeated rows are documents of their own; other columns are not read. An empty table gives an empty one.
     """
     cut = pieces(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), tokenizer, "_text", with_ids)
     cut, _ = settle(cut)

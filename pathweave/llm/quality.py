@@ -4,7 +4,8 @@ A logistic regression on counts over the text gives each document's own evidence
 here the source is the host and the language its path, the document tables having no addresses. Hosts are shrunk towards
 the mean of all, paths towards their host, by a strength that the method of moments reads off the spread of the means:
 the less hosts differ beyond chance, the more they are pulled together, and the fewer documents a site has, the more it
-is. A document's score adds to its own evidence how much its path, without the document itself, differs from all.
+is. A document's score adds to its own evidence how much its path differs from all; the document itself is left out of its
+path's mean, though not of the mean of the host that this is shrunk towards.
 """
 
 from __future__ import annotations
@@ -52,12 +53,14 @@ def _logit(p: Column) -> Column:
 def evidence(rows: DataFrame, labels: DataFrame, key: str, label: str = "quality") -> DataFrame:
     """``rows`` (with ``stats``) with ``evidence``, the regression's probability of good quality.
 
-    Labels of one key are averaged; null and held-out ones are not used. Of a key's rows the one whose counts have the
-    smallest hash is learnt from. Labels of one kind only make that kind certain;
+    Labels of one key are averaged; null and held-out ones and those without a document are not used and take no places of
+    the sample; keys of equal hash come in their order. Of a key's rows the one whose counts have the smallest hash is
+    learnt from. Labels of one kind only make that kind certain;
     without labels the evidence is one half.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("_k")).agg((F.avg(label) >= 0.5).cast("double").alias("_good"))
+    known = known.join(rows.select(F.col(key).alias("_k")).distinct(), "_k", "left_semi")
     chosen = known.orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE)
     inputs = {name: F.expr(sql).cast("double") for name, sql in EVIDENCE.items()}
     sample = rows.join(F.broadcast(chosen), F.col(key) == F.col("_k")).select("_k", "_good", F.struct(*(x.alias(n) for n, x in inputs.items())).alias("_in"))
@@ -100,10 +103,10 @@ def posteriors(rows: DataFrame) -> tuple[DataFrame, float, float]:
 
 
 def quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: ``key``, ``held_out``, ``evidence``, ``host_score``, ``path_score`` (without the
-    document), ``score`` (0 to 1) and ``kept``.
+    """One row per row of ``docs``: ``key``, ``held_out``, ``evidence``, ``host_score``, ``path_score`` (of the path's other
+    documents, shrunk towards the host), ``score`` (0 to 1) and ``kept``.
 
-    A null text counts as empty; null hosts are one host, null paths one path of each host. Repeated rows are scored
+    A null text counts as empty, very long ones are counted whole; null hosts are one host, null paths one path of each host. Repeated rows are scored
     alike; other columns are not read; an empty table gives an empty one.
     """
     slim = text_stats(docs.select(F.col(key).alias("_key"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("_text")), "_text").drop("_text")

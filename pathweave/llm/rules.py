@@ -80,13 +80,23 @@ def _passed(rule: str) -> Column:
     return sum(((F.expr(measure) > float(v)).cast("int") for v in grid), F.lit(0))
 
 
+def _name(stratum: str) -> Column:
+    """A stratum's name; null and the empty string are two."""
+    return F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", label: str = "quality") -> DataFrame:
     """Cutoffs from documents with ``stats``: ``cut_stratum`` and one column ``cut_<i>`` by rule, null without a cutoff;
-    broadcast unless strata are too many. Labels of one key are averaged; null labels and keys are not used."""
+    broadcast unless strata are too many. Labels of one key are averaged; null labels and keys are not used. However often a
+    labelled key is repeated, it is one document, the row of it whose counts have the smallest hash: the bounds are on
+    independent documents."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg((F.avg(label) >= 0.5).alias("_good"))
     places = F.array(*(F.struct(F.lit(r).alias("rule"), _passed(r).alias("passed")) for r in RULES))
-    name = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    rows = docs.join(known, F.col(key) == F.col("_k")).select(name.alias("stratum"), "_good", F.explode(places).alias("at"))
+    own = F.struct(_name(stratum).alias("stratum"), places.alias("at"))
+    # one row of each key, combined before the shuffle
+    rows = docs.join(known, F.col(key) == F.col("_k")).select("_k", "_good", own.alias("_own"))
+    rows = rows.groupBy("_k", "_good").agg(F.min_by("_own", F.struct(F.xxhash64("_own"), "_own")).alias("_own"))
+    rows = rows.select("_own.stratum", "_good", F.explode("_own.at").alias("at"))
     counted = rows.groupBy("stratum", "at.rule", "at.passed").agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad"))
     # a stratum has as many counts as the grids have places
     grouped, seen = settle(counted.groupBy("stratum").agg(F.collect_list(F.struct("rule", "passed", "good", "bad")).alias("counts")))
@@ -105,13 +115,14 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
     """One row per row of ``docs``: ``key``, the base counts, ``base_failed`` and ``kept``.
 
-    A null text counts as empty and fails the base rules. Strata without enough labels have no cutoffs and only the base
-    rules. Repeated rows are judged alike; other columns are not read; an empty table gives an empty one.
+    A null text counts as empty and fails the base rules; very long texts are counted whole. Strata without enough labels
+    have no cutoffs and only the base rules; a null stratum is one of its own. Repeated rows are judged alike, and a
+    repeated labelled document is evidence once; other columns are not read; an empty table gives an empty one.
     """
     slim = text_stats(docs.select(F.col(key).alias("_key"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text")), "_text").drop("_text")
     slim, _ = settle(slim)
     chosen = learn(slim, labels.withColumnRenamed(key, "_key"), "_key", "_stratum")
-    slim = slim.join(chosen, F.coalesce(F.col("_stratum").cast("string"), F.lit("")) == F.col("cut_stratum"), "left")
+    slim = slim.join(chosen, _name("_stratum") == F.col("cut_stratum"), "left")
     passes = F.lit(True)
     for i, (measure, _) in enumerate(RULES.values()):
         passes = passes & (F.col(f"cut_{i}").isNull() | ~(F.expr(measure) > F.col(f"cut_{i}")))

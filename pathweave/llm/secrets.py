@@ -96,7 +96,8 @@ def _code_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[i
 
 def find_secrets(docs: DataFrame, text: str = "text", name: str = "secrets", rules: tuple[Rule, ...] = RULES, base: int = BASE) -> DataFrame:
     """``docs`` with ``name``: an array of ``(start, kind, end, base)`` by start, then kind in the order of the rules;
-    offsets in code points, ends exclusive, ``base`` 1 for the first ``base`` rules. A null or empty text has none."""
+    offsets in code points, ends exclusive, ``base`` 1 for the first ``base`` rules. A null or empty text has none; very long ones are scanned
+    whole."""
 
     @F.arrow_udf(_SPANS)
     def scan(texts: pa.Array) -> pa.Array:

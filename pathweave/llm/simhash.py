@@ -221,10 +221,11 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: ``key``, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest key in the
-    class of the row, null only where the class has none) and ``row``, which tells rows of one key apart.
+    """One row per row of ``docs``: ``key``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest key in the
+    class of the row, null only where the class has none).
 
-    A null text and one without a word have fingerprint zero and are linked like others; repeated rows share a class.
+    A null text and one without a word have fingerprint zero and are linked like others; very long texts are hashed whole;
+    repeated rows share a class.
     Other columns are not read; an empty table gives an empty one.
     """
     marked, _ = settle(fingerprints(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "text", "fp").select("id", "fp"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pathweave.llm.workers import each_text, reachable
+from pathweave.session import settle
 
 #: Buckets of features; the place behind them is the intercept.
 BUCKETS = 1 << 20
@@ -94,7 +95,7 @@ def fit(texts: Iterable[bytes | None], labels: list[float], weights: list[float]
 
 
 def _fit_task(batches):
-    """All batches of the one task that learns: ``(text, label, weight)`` rows in, ``(place, weight)`` rows out."""
+    """All batches of the one task that learns: ``(text, label, weight)`` rows in, places and weights in one row out."""
     labels, weights = [], []
 
     def texts():
@@ -105,7 +106,8 @@ def _fit_task(batches):
 
     at, w = fit(texts(), labels, weights)
     if labels:
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["place", "weight"])
+        lists = [pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([w.tolist()], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(lists, names=["places", "weights"])
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -116,12 +118,15 @@ def held_out(key: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
     """The model: places and weights, at most ``BUCKETS`` + 1 of them, and a few thousand under L1.
 
-    Labels of one key are averaged; null labels, null keys and keys that are held out are not used. Labelled documents
-    of a class beyond the sample count through the intercept. Of a key's texts the one with the smallest hash is learnt
-    from. Without labels the model is empty.
+    Labels of one key are averaged; null labels, null keys, keys that are held out and keys without a document are not
+    used, so that these take no places of the sample. Labelled documents of a class beyond the sample count through the
+    intercept. Of a key's texts the one with the smallest hash is learnt from; keys of equal hash come in their order.
+    Texts above ``SAMPLE_CHARS`` are scored, but not learnt from. Without labels the model is empty.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
+    present = docs.select(F.col(key).alias("k")).where(F.col("k").isNotNull()).distinct()
+    known, _ = settle(known.join(present, "k", "left_semi"))
     # keys only: at most SAMPLE_PER_CLASS rows of two numbers from either class
     firsts = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_PER_CLASS) for y in (1.0, 0.0)]
     totals = known.groupBy("y").agg(F.greatest(F.lit(1.0), F.count(F.lit(1)) / SAMPLE_PER_CLASS).alias("w"))
@@ -131,8 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("k")).groupBy("k", "y", "w").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
     sample = sample.select("t", "y", "w", F.xxhash64("k", F.lit(1)).alias("o"))
     one = sample.repartition(1).sortWithinPartitions("o", "t").select("t", "y", "w")
-    rows = reachable(one).mapInArrow(_fit_task, "place long, weight double").collect()
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+    rows = reachable(one).mapInArrow(_fit_task, "places array<long>, weights array<double>").collect()  # one row
+    return (np.array(rows[0][0], np.int64), np.array(rows[0][1])) if rows else (np.zeros(0, np.int64), np.zeros(0))
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", name: str = "score") -> DataFrame:
@@ -157,7 +162,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "t
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``held_out``, ``score`` and ``predicted``, 1 from ``threshold`` on.
 
-    Repeated rows get the same score. The score sees the text alone. Empty tables give empty ones.
+    Repeated rows get the same score. The score sees the text alone, a very long one whole; a null one counts as empty.
+    Other columns are not read. Empty tables give empty ones.
     """
     own = docs.select(F.col(key).alias(key), F.col(text).alias("_text"))
     out = scored(own, train(docs, labels, text=text, key=key), "_text")

@@ -165,7 +165,7 @@ def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules=
     """One row per row of ``pages``: ``key``, ``host``, ``path``, ``rule`` (null where none fits) and ``verdict``.
 
     ``labelled`` has ``url`` and ``blocked``; without it, the URLs that rules decide are the labelled ones. A null URL, or
-    one without ``://``, has an empty host and path and is judged by the trees. Other columns are not read; repeated rows
+    one without ``://``, has an empty host and path and is judged by the trees; very long ones are read whole. Other columns are not read; repeated rows
     are judged alike; an empty table gives an empty one.
     """
     def parsed(rows: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from math import comb
@@ -87,7 +88,8 @@ def _seen(settled, sizes, metrics):
 
 
 def _count_task(batches):
-    yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in batches)], pa.int64()), pa.array([0.0])], names=["place", "weight"])
+    n = sum(b.num_rows for b in batches)
+    yield pa.RecordBatch.from_arrays([pa.array([[n]], pa.list_(pa.int64())), pa.array([[0.0]], pa.list_(pa.float64()))], names=["places", "weights"])
 
 
 def test_repeated_keys_do_not_enlarge_the_sample(spark, monkeypatch):
@@ -275,3 +277,131 @@ def test_entropy(spark):
     rows = [("aabb", 1.0), ("aaaa", 0.0), ("abcd", 2.0), ("", 0.0)]
     got = spark.createDataFrame(rows, "t string, e double").select(urls._entropy(F.col("t")).alias("x"), "e").collect()
     assert all(abs(r["x"] - r["e"]) < 1e-9 for r in got)
+
+
+def plain_ftrl(texts, labels, passes):
+    """FTRL-proximal one coordinate at a time."""
+    z, n = {}, {}
+    last = toxicity.BUCKETS
+
+    def weight(i):
+        l1 = 0.0 if i == last else toxicity.L1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(passes):
+        for text, y in zip(texts, labels):
+            features = sorted(set(toxicity.buckets_of(text).tolist())) + [last]
+            before = [weight(i) for i in features]
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(before))))) - y
+            for i, w in zip(features, before):
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - old ** 0.5) / toxicity.ALPHA * w
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_fit_equals_plain_ftrl():
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(WORDS[:60]) for _ in range(25)) + (" awful thing" if i % 3 == 0 else "") for i in range(50)] + [""]
+    labels = [float(i % 3 == 0) for i in range(51)]
+    texts = [t.encode() for t in texts]
+    at, w = toxicity.fit(texts, labels, [1.0] * 51)
+    want = plain_ftrl(texts, labels, toxicity.MOST_PASSES)
+    got = dict(zip(at.tolist(), w.tolist()))
+    assert len(want) > 5 and set(got) == set(want)
+    assert all(abs(got[i] - x) < 1e-9 for i, x in want.items())
+
+
+def test_labels_of_absent_documents_take_no_places(spark, monkeypatch):
+    docs, labels, truth, rows = labelled(spark, lambda rng, w: " ".join([*w[:20], "rotten", *w[20:]]), 300)
+    absent = spark.range(10**6, 10**6 + 20_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(1).alias("toxic"))
+    monkeypatch.setattr(toxicity, "SAMPLE_PER_CLASS", 100)
+    monkeypatch.setattr(quality, "SAMPLE", 200)
+    sizes, kept = [], quality.settle
+    monkeypatch.setattr(quality, "settle", lambda df, **m: _seen(kept(df, **m), sizes, m))
+    quality.quality(docs, labels.unionByName(absent))
+    assert sizes == [200]
+    monkeypatch.setattr(toxicity, "_fit_task", _count_task)
+    usable = [t for t in truth.values() if t[0] < 270 and not out(t[0])]
+    toxic = sum(t[2] for t in usable)
+    assert toxicity.train(docs, labels.unionByName(absent))[0].tolist() == [min(100, toxic) + 100]
+
+
+def test_a_repeated_labelled_document_is_evidence_once(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(700):  # enough good documents for a cutoff; those that are bad are of symbols
+        bad = i % 10 == 0
+        words = [rng.choice(WORDS) + ("***" if bad else "") for _ in range(40)]
+        docs.append((i, " ".join(words), "en"))
+        labels.append((i, int(not bad)))
+    few = [(1000 + i, d[1], "de") for i, d in enumerate(docs[:40])]
+    tables = [spark.createDataFrame(rows, "doc_id long, text string, lang string") for rows in (docs + few, few[1:2])]
+    labelled_docs = spark.createDataFrame(labels + [(1000 + i, lab[1]) for i, lab in enumerate(labels[:40])], "doc_id long, quality int")
+    copies = tables[1].withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(1000)))).drop("x")
+    got = rules.quality_rules(tables[0].unionByName(copies), labelled_docs).collect()
+    kept = {}
+    for r in got:
+        kept.setdefault(r["doc_id"], set()).add(r["kept"])
+    # 36 good documents certify nothing, however often one of them is repeated
+    assert all(kept[1000 + i] == {True} for i in range(40))
+    assert len(got) == 740 + 1000 and all(len(k) == 1 for k in kept.values())
+
+
+def test_null_and_empty_languages_are_two_strata(spark):
+    docs = [(i, " ".join(random.Random(i).choice(WORDS) for _ in range(30)), None if i % 2 else "") for i in range(60)]
+    slim = textstats.text_stats(spark.createDataFrame(docs, "doc_id long, text string, lang string"), "text")
+    found = rules.learn(slim, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int"))
+    assert {r["cut_stratum"] for r in found.collect()} == {"", "="}
+
+
+def test_very_long_texts_are_read_whole(spark):
+    docs, labels, truth, rows = labelled(spark, lambda rng, w: " ".join([*w[:20], "rotten", *w[20:]]), 300)
+    long = " ".join(WORDS) * 400 + " rotten " + " ".join(WORDS)
+    more = spark.createDataFrame([(9_000_001, long, "en", "s1", 0.0)], docs.schema)
+    every = docs.unionByName(more)
+    found = toxicity.toxicity(every, labels).where("doc_id = 9000001").first()
+    clean = toxicity.toxicity(docs.unionByName(more.withColumn("text", F.replace("text", F.lit("rotten"), F.lit("")))), labels).where("doc_id = 9000001").first()
+    assert found["score"] > clean["score"]
+    judged = rules.quality_rules(every, labels).where("doc_id = 9000001").first()
+    assert tuple(judged)[1:6] == plain_stats(long)
+    assert 0 <= quality.quality(every, labels).where("doc_id = 9000001").first()["score"] <= 1
+
+
+def plain_strength(groups):
+    """The method of moments over ``(n, s, centre)``."""
+    some = [(n, s, c) for n, s, c in groups if n > 1]
+    apart = np.mean([(s / n - c) ** 2 for n, s, c in some])
+    noise = np.mean([c * (1 - c) / n for n, s, c in some])
+    whole = np.mean([c * (1 - c) for _, _, c in groups])
+    return min(quality.STRONGEST, max(quality.WEAKEST, whole / (apart - noise) - 1)) if apart > noise else quality.STRONGEST
+
+
+def test_posteriors_equal_plain_moments(spark):
+    rng = random.Random(6)
+    rows = []
+    for h in range(6):
+        for p in range(4):
+            centre = min(0.95, max(0.05, rng.gauss(0.15 + 0.13 * h, 0.1)))
+            rows += [(None if h == 5 else f"h{h}", f"p{p}", float(rng.random() < centre)) for _ in range(rng.choice((1, 3, 20, 60)))]
+    sites, pull, mean = quality.posteriors(spark.createDataFrame(rows, "host string, path string, evidence double"))
+    assert abs(mean - np.mean([r[2] for r in rows])) < 1e-12
+
+    def grouped(key):
+        out = {}
+        for r in rows:
+            n, s = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, s + r[2]
+        return out
+
+    hosts, paths = grouped(lambda r: r[0]), grouped(lambda r: r[:2])
+    k = plain_strength([(n, s, mean) for n, s in hosts.values()])
+    host = {h: (s + k * mean) / (n + k) for h, (n, s) in hosts.items()}
+    want = plain_strength([(n, s, host[h]) for (h, _), (n, s) in paths.items()])
+    assert abs(pull - want) < 1e-6 * want
+    got = {(r["host"], r["path"]): (r["n"], r["s"], r["host_score"]) for r in sites.collect()}
+    assert set(got) == set(paths)
+    assert all(got[x][:2] == paths[x] and abs(got[x][2] - host[x[0]]) < 1e-9 for x in paths)
