@@ -97,13 +97,11 @@ def _members(name: str, table: str) -> str:
 SIGNATURES = f"""{NODES}, lv as (select unnest(range(0, cast(floor(log2((select count(*) from n))) as int) + 1)) as level),
 g as (select distinct cast(level as int) as level, src >> level as block, label from e, lv)"""
 
-UNDIRECTED = """u as (select p, q, count(*) as m from (select src as p, dst as q from e where src <> dst
+UNDIRECTED = """u as materialized (select p, q, count(*) as m from (select src as p, dst as q from e where src <> dst
                      union all select dst, src from e where src <> dst) group by p, q),
-k as (select node, part as colour from f),
-t as (select u.p, k.colour, sum(u.m) as m from u join k on k.node = u.q group by u.p, k.colour),
-deg as (select p, sum(m) as m from t group by p),
-pairs as (select u.p, u.q, u.m, kp.colour as a, kq.colour as b from u join k kp on kp.node = u.p
-          join k kq on kq.node = u.q where u.p < u.q and kp.colour <> kq.colour)"""
+t as materialized (select u.p as node, f.part as colour, [sum(case when g.part = 0 then u.m else 0 end),
+                     sum(case when g.part = 1 then u.m else 0 end), sum(case when g.part = 2 then u.m else 0 end)] as cnt
+      from u join f on f.node = u.p join f g on g.node = u.q group by u.p, f.part)"""
 
 # boundary nodes are counted before and after every swap, over the nodes the swap can change
 BOUNDARY_GAIN = """k as (select node, part as colour from f),
@@ -210,13 +208,10 @@ select s.new_id as src, e.label, coalesce(d.new_id, e.dst) as dst
 from e join m s on s.old_id = e.src left join m d on d.old_id = e.dst""",
     "colour_init": f"with {CHAIN}, {COLOURS} select node, colour from c",
     "swap_gain_edge": f"""with {CHAIN}, {THIRDS}, {UNDIRECTED}
-select p, q, cast(before as bigint) as before, cast(after as bigint) as after from (
-  select x.p, x.q,
-    dp.m - coalesce(pa.m, 0) + dq.m - coalesce(qb.m, 0) as before,
-    dp.m - coalesce(pb.m, 0) + x.m + dq.m - coalesce(qa.m, 0) + x.m as after
-  from pairs x join deg dp on dp.p = x.p join deg dq on dq.p = x.q
-    left join t pa on pa.p = x.p and pa.colour = x.a left join t pb on pb.p = x.p and pb.colour = x.b
-    left join t qa on qa.p = x.q and qa.colour = x.a left join t qb on qb.p = x.q and qb.colour = x.b)""",
+select u.p, u.q,
+  cast(list_sum(a.cnt) - a.cnt[a.colour + 1] + list_sum(b.cnt) - b.cnt[b.colour + 1] as bigint) as before,
+  cast(list_sum(a.cnt) - a.cnt[b.colour + 1] + list_sum(b.cnt) - b.cnt[a.colour + 1] + 2 * u.m as bigint) as after
+from u join t a on a.node = u.p join t b on b.node = u.q where u.p < u.q and a.colour <> b.colour""",
     "swap_gain_boundary": f"""with {ORDERS}, {THIRDS}, {BOUNDARY_GAIN}
 select p, q, count(*) filter (where before and not after) as removed,
        count(*) filter (where after and not before) as added from state group by p, q""",
