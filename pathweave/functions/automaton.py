@@ -45,6 +45,24 @@ class Automaton:
     def leaving(self, states) -> list[tuple[int, Label, int]]:
         return [s for s in self.transitions if s[0] in states]
 
+    @cached_property
+    def inner(self) -> "Automaton":
+        """Without the transitions of a start state that nothing enters: all that is followed after the first edge."""
+        entered = {t for _, _, t in self.transitions}
+        return Automaton(tuple(s for s in self.transitions if s[0] in entered), self.n_states, self.final)
+
+    @cached_property
+    def beginning(self) -> "Automaton":
+        """Only the transitions of the start state."""
+        return Automaton(tuple(self.leaving({START})), self.n_states, self.final)
+
+    def reaches(self, states) -> frozenset[int]:
+        """States that one transition or more leads to."""
+        forward = defaultdict(set)
+        for q, _, t in self.transitions:
+            forward[q].add(t)
+        return frozenset(_closure(set(self.successors(states)), forward))
+
     def labels_from(self, states) -> list[Label]:
         return sorted({lab for _, lab, _ in self.leaving(states)})
 

@@ -26,15 +26,22 @@ def hot_keys(df: DataFrame, keys: list[str], rows: int, parts: int, shares: str)
 class Keyed:
     """``df`` partitioned and sorted by ``keys``; the rows of a hot key are spread by a hash of ``spread``."""
 
-    def __init__(self, df: DataFrame, keys: list[str], spread: list[str], rows: int, parts: int):
+    def __init__(
+        self, df: DataFrame, keys: list[str], spread: list[str], rows: int, parts: int, lay: bool = True, hot: DataFrame | None = None
+    ):
+        """``lay=False`` for a table that is read for one join only: it is dealt out by that join, with ``hot`` its hot keys
+        as :func:`hot_keys` finds them."""
         self.keys, self.spread, self.rows, self.parts = keys, spread, rows, parts
-        self.hot = hot_keys(df, keys, rows, parts, "_shares")
+        self.hot = hot_keys(df, keys, rows, parts, "_shares") if lay else hot
         self.on = keys + ([SALT] if self.hot is not None else [])
         if self.hot is not None:
             shares = F.coalesce("_shares", F.lit(1))
             salt = F.pmod(F.xxhash64(*spread), shares).cast("int")
             df = df.join(F.broadcast(self.hot), keys, "left").withColumn(SALT, salt).drop("_shares")
-        self._lay(df, parts)
+        if lay:
+            self._lay(df, parts)
+        else:
+            self.table = df
 
     def _lay(self, df: DataFrame, parts: int) -> None:
         self.parts = parts

@@ -8,25 +8,33 @@ from pyspark.sql import functions as F
 from pathweave.operators.fragments import node_set
 
 
-# Levels that one step from blocks to ids takes.
+# Levels that one step between blocks and ids takes.
 STEP_BITS = 10
 
 
 def signature_build(edges: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """``(level, block, label)`` for ``levels``, by default 0 to the whole logarithm of the number of nodes.
 
-    Edges are first reduced to distinct ``(src, label)``; a big block's labels then combine before the shuffle.
+    Edges are reduced to distinct ``(src, label)`` and dealt out by blocks of ``STEP_BITS`` levels, once: all levels up to
+    there are then made in place, a block lying in one partition with all it consists of. Levels above are made from the
+    distinct rows of that one, a small part, in the same way.
     """
-    own = edges.select("src", "label").distinct()
     if levels is None:
         # the length in bits, which unlike a floating logarithm is exact at powers of two
-        bits = node_set(edges).agg(F.length(F.bin(F.count(F.lit(1))))).scalar()
-        every = F.sequence(F.lit(0), bits - 1)
-    else:
-        every = F.array(*(F.lit(k) for k in levels))
-    blocks = own.select("src", "label", F.explode(every).alias("level"))
-    blocks = blocks.select("level", F.expr("shiftright(src, level)").alias("block"), "label")
-    return blocks.distinct()
+        levels = list(range(node_set(edges).agg(F.length(F.bin(F.count(F.lit(1))))).first()[0]))
+    rows, base, made = edges.select(F.col("src").alias("block"), "label").distinct(), 0, None
+    while levels:
+        here = [k for k in levels if k <= base + STEP_BITS]
+        levels = [k for k in levels if k > base + STEP_BITS]
+        rows = rows.withColumn("_top", F.shiftright("block", STEP_BITS)).repartition("_top")
+        wanted = sorted(set(here) | ({base + STEP_BITS} if levels else set()))
+        exploded = rows.select("_top", "block", "label", F.explode(F.array(*map(F.lit, wanted))).alias("level"))
+        blocks = exploded.select("_top", "level", F.expr(f"shiftright(block, level - {base})").alias("block"), "label").distinct()
+        own = blocks.where(F.col("level").isin(here)).select("level", "block", "label")
+        made = own if made is None else made.unionByName(own)
+        base += STEP_BITS
+        rows = blocks.where(F.col("level") == base).select("block", "label")
+    return made
 
 
 def signature_lookup(signatures: DataFrame, level: int, groups: list[list]) -> DataFrame:

@@ -168,6 +168,8 @@ select q_from, q as q_to, u, v from r where q = 3 or v in (select node from b)""
     "compose_matches": _rpq(ORDERS, FOLLOW, 3),
     "rpq_partial_eval": _rpq(CHAIN, R2, 3),
     "rpq_partial_eval_from_node": _rpq(HANDOFF, R3, 2, "where e.src = 17"),
+    "rpq_lookup_by_source": _rpq(HANDOFF, R3, 2, "where e.src = 17"),
+    "rpq_partial_eval_coloured": _rpq(ORDERS, FOLLOW, 3),
     "crpq_merge": f"""with recursive {HANDOFF}, a1(q, label, t) as (values {R2}), a2(q, label, t) as (values {C2}),
 {_walk('r1', 'a1')}, {_walk('r2', 'a2')}
 select origin, node from r1 where q = 3 intersect select origin, node from r2 where q = 3""",

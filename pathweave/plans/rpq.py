@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.functions.automaton import START, Automaton
-from pathweave.functions.keyed import Keyed
+from pathweave.functions.keyed import Keyed, hot_keys
 from pathweave.operators.fragments import boundary_nodes
 from pathweave.operators.steps import label_scan, product_edges, product_start
 from pathweave.plans.fixpoint import Visited, fixpoint
 from pathweave.session import BROADCAST_ROWS, loop_settings, parts_for, settle, small
+from pathweave.sources.text import folders_of, in_folders
 
 PAIR_STATE = ["origin", "node", "q"]
 # Parts into which the rows of one origin are cut when many starts are looked up.
@@ -55,11 +56,12 @@ def rpq(
     automaton = automaton.trimmed
     if strategy == "fragments":
         matches = fragment_matches(edges, fragment, automaton, starts)
-        return compose(matches, automaton.final, starts, max_rounds)
+        return compose(matches, automaton, starts, max_rounds)
     if strategy == "lookup":
         return _answers(edges.sparkSession, _lookup(edges, automaton, starts, max_rounds), automaton.final)
-    product = ProductGraph(product_edges(edges, automaton))
-    seed = product_start(product.moves)
+    # the first edges are read from the table: what is stored for the rounds has only moves that rounds can make
+    product = ProductGraph(product_edges(edges, automaton.inner))
+    seed = product_start(product_edges(edges, automaton.beginning))
     if starts is not None:
         seed = started_from(seed, starts, "origin")
     visited = fixpoint(
@@ -79,8 +81,8 @@ def rpq(
 def rpq_reachable(edges: DataFrame, automaton: Automaton, max_rounds: int | None = None) -> DataFrame:
     """Nodes at the end of an accepting path from anywhere."""
     automaton = automaton.trimmed
-    product = ProductGraph(product_edges(edges, automaton))
-    seed = product_start(product.moves).select("node", "q")
+    product = ProductGraph(product_edges(edges, automaton.inner))
+    seed = product_start(product_edges(edges, automaton.beginning)).select("node", "q")
     visited = fixpoint(
         product.spark,
         seed,
@@ -144,9 +146,15 @@ def fragment_matches(
 
 
 def compose(
-    matches: DataFrame, final: int, starts: DataFrame | None = None, max_rounds: int | None = None
+    matches: DataFrame, automaton: Automaton, starts: DataFrame | None = None, max_rounds: int | None = None
 ) -> DataFrame:
-    """Chain partial answers on (state, node) from the start state; pairs that end in the final state."""
+    """Chain partial answers on (state, node) from the start state; pairs that end in the final state.
+
+    A partial answer is a way through the automaton, so states follow each other as the automaton's do, any number of
+    transitions at once: rounds look only at runs of states that theirs can be among, and states that nothing leaves
+    are not probed.
+    """
+    automaton = automaton.trimmed
     product = ProductGraph(
         matches.select(
             F.col("u").alias("src"), F.col("q_from").alias("q"), F.col("v").alias("dst"), F.col("q_to").alias("t")
@@ -158,41 +166,53 @@ def compose(
     visited = fixpoint(
         product.spark,
         seed,
-        lambda frontier, rows, tags: _pairs(product.step(frontier, rows), "origin"),
+        lambda frontier, rows, tags: _pairs(product.step(_leaving(frontier, automaton, tags), rows), "origin"),
         PAIR_STATE,
         product.parts,
-        relay=product.keyed.relay,
-        max_rounds=max_rounds,
+        automaton.reaches({START}),
+        automaton.reaches,
+        product.keyed.relay,
+        max_rounds,
     )
-    found = visited.table()
-    return _final(product.spark, found, final, ["origin", "node"])
+    return _answers(product.spark, visited, automaton.final)
 
 
 def _lookup(edges: DataFrame, automaton: Automaton, starts: DataFrame | None, max_rounds: int | None) -> Visited:
+    """Rounds that read ``edges``: of a table stored by source (``store_edges_by_source``) only the folders in which sources
+    of the frontier lie, and of any table only the round's labels. The frontier is broadcast while it is small; beyond
+    that both sides are dealt out by source, hubs and crowded sources cut."""
     spark = edges.sparkSession
     steps = small(automaton.to_df(spark), len(automaton.transitions))
     first = label_scan(edges, automaton.labels_from({START}))
     if starts is not None:
-        first = started_from(first, starts, "src")
+        keys, seen = settle(starts.select("node").distinct(), **folders_of("node", edges))
+        first = started_from(in_folders(first, seen), keys, "src")
     seed = product_start(first.join(steps.where(F.col("q") == START), "label").select("src", "q", "dst", "t"))
     seed, seen = settle(seed)
-    stored: list[ProductGraph] = []
+    parts = parts_for(spark, seen["rows"])
+    hubs: list = []
 
     def probe(frontier: DataFrame, rows: int, tags: frozenset) -> DataFrame:
-        if rows > BROADCAST_ROWS:
-            if not stored:
-                stored.append(ProductGraph(product_edges(edges, automaton)))
-            return _pairs(stored[0].step(_leaving(frontier, automaton, tags), rows), "origin")
-        # the broadcast is of the frontier as counted, at most BROADCAST_ROWS rows; transitions multiply it afterwards
-        read = label_scan(edges, automaton.labels_from(tags)).join(steps, "label")
-        return _pairs(read.join(F.broadcast(frontier.withColumnRenamed("node", "src")), ["src", "q"]), "origin")
+        # tells folders of a table that has any from the frontier's sources, in one small job
+        folders = folders_of("node", edges)
+        held = frontier.agg(*(c.alias(n) for n, c in folders.items())).first().asDict() if folders else {}
+        read = in_folders(label_scan(edges, automaton.labels_from(tags)), held).select("src", "label", "dst")
+        moves = read.join(steps, "label").select("src", "q", "dst", "t")
+        left = _leaving(frontier, automaton, tags).withColumnRenamed("node", "src")
+        if rows <= BROADCAST_ROWS:
+            # the broadcast is of the frontier as counted; transitions multiply it afterwards
+            return _pairs(moves.join(F.broadcast(left), ["src", "q"]), "origin")
+        if not hubs:
+            every = product_edges(edges, automaton)
+            hubs.append((hot_keys(every, ["src", "q"], edges.count(), parts, "_shares"),))
+        return _pairs(Keyed(moves, ["src", "q"], ["dst", "t"], 0, parts, lay=False, hot=hubs[0][0]).join(left, rows), "origin")
 
     return fixpoint(
         spark,
         seed,
         probe,
         PAIR_STATE,
-        parts_for(spark, seen["rows"]),
+        parts,
         automaton.successors({START}),
         automaton.successors,
         max_rounds=max_rounds,

@@ -22,6 +22,9 @@ LEVEL = 2
 START_NODE = 17
 
 
+_stored_by_source: dict[tuple, str] = {}
+
+
 def _chain(spark: SparkSession, folder: str) -> DataFrame:
     return graph(spark, folder, "part_chain")
 
@@ -193,7 +196,24 @@ def fragment_matches(spark, folder):
 
 
 def compose_matches(spark, folder):
-    return rpq.compose(fragment_matches(spark, folder), ORDERS.final)
+    return rpq.compose(fragment_matches(spark, folder), ORDERS)
+
+
+def rpq_lookup_by_source(spark, folder):
+    """From given origins over edges stored by source, of which a round reads the folders it needs."""
+    key = ("by source", *graph_key(spark, folder, "handoff"))
+    if key not in _stored_by_source:
+        path = scratch_path(spark, "by-source")
+        text.store_edges_by_source(_handoff(spark, folder), path)
+        _stored_by_source[key] = path
+    edges = spark.read.schema("src bigint, label int, dst bigint, folder int").parquet(_stored_by_source[key])
+    return rpq.rpq(edges, R3, _start(spark), "lookup")
+
+
+def rpq_partial_eval_coloured(spark, folder):
+    """Fragments are the colours of a finished partitioning by boundary nodes, which leaves fewer of them than other rules."""
+    fragment = _boundary_local(spark, folder).colouring.withColumnRenamed("colour", "part")
+    return rpq.rpq(_orders(spark, folder), ORDERS, strategy="fragments", fragment=fragment)
 
 
 def rpq_partial_eval(spark, folder):
@@ -333,6 +353,8 @@ QUERIES = {
     "compose_matches": compose_matches,
     "rpq_partial_eval": rpq_partial_eval,
     "rpq_partial_eval_from_node": rpq_partial_eval_from_node,
+    "rpq_lookup_by_source": rpq_lookup_by_source,
+    "rpq_partial_eval_coloured": rpq_partial_eval_coloured,
     "crpq_merge": lambda s, d: conjunctive.crpq_merge(_handoff(s, d), [R2, C2]),
     "start_label_division": lambda s, d: conjunctive.start_label_division(_handoff(s, d), [5, 8]),
     "crpq_one_go": lambda s, d: conjunctive.crpq_one_go(_handoff(s, d), BOTH),

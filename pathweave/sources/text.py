@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pathweave.functions.automaton import Automaton
 from pathweave.session import settle, small
@@ -43,6 +44,44 @@ def store_edges(edges: DataFrame, path: str) -> DataFrame:
     return edges.sparkSession.read.schema(edges.schema).parquet(path)
 
 
+#: Folders of a table stored by source.
+FOLDERS = 256
+
+
+def _folder(src: str) -> Column:
+    return F.pmod(F.xxhash64(src), F.lit(FOLDERS)).cast("int")
+
+
+def store_edges_by_source(edges: DataFrame, path: str) -> DataFrame:
+    """Edges in ``FOLDERS`` folders by their source, sorted by label inside, with the column ``folder``.
+
+    Few sources are then looked up in few folders. Ranges go over whole edges, so that a hub of any size is many tasks and
+    files.
+    """
+    by = ["folder", "label", "src", "dst"]
+    rows = edges.withColumn("folder", _folder("src"))
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("folder").parquet(path)
+    schema = StructType([*edges.schema.fields, StructField("folder", IntegerType())])
+    return edges.sparkSession.read.schema(schema).parquet(path)
+
+
+def folders_of(node: str, edges: DataFrame) -> dict[str, Column]:
+    """Aggregates that tell in which folders of ``edges`` the sources ``node`` lie, as bits; none for another table."""
+    if "folder" not in edges.columns:
+        return {}
+    folder = _folder(node)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(folder, F.lit(64)))
+    return {f"folders_{i}": F.bit_or(F.when(F.floor(folder / 64) == i, bit).otherwise(F.lit(0).cast("bigint"))) for i in range(FOLDERS // 64)}
+
+
+def in_folders(edges: DataFrame, seen: dict) -> DataFrame:
+    """``edges`` of the folders found; the others aren't listed among the files to read."""
+    if "folder" not in edges.columns:
+        return edges
+    held = [64 * i + b for i in range(FOLDERS // 64) for b in range(64) if (seen.get(f"folders_{i}") or 0) >> b & 1]
+    return edges.where(F.col("folder").isin(held))
+
+
 def _words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w")).where("w[0] <> ''")
 

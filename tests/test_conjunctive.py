@@ -1,6 +1,7 @@
 import pytest
 
 from pathweave.functions.automaton import Automaton
+from pathweave.operators import signatures
 from pathweave.operators.signatures import block_ids, signature_build, signature_lookup
 from pathweave.plans.conjunctive import (
     crpq_merge,
@@ -84,3 +85,15 @@ def test_signatures(edges_of):
     blocks = {b for k, b, x in got if k == 2 and x == 5} & {b for k, b, x in got if k == 2 and x == 6}
     assert rows(found) == {(b,) for b in blocks}
     assert rows(block_ids(found, 2)) == {(n,) for b in blocks for n in range(b * 4, b * 4 + 4)}
+
+
+def test_signature_levels_are_made_in_place(spark, edges_of, monkeypatch):
+    data = random_edges(12, graphs=60)
+    want = {(k, s >> k, lab) for s, lab, _ in data for k in (0, 1, 3, 5, 9)}
+    edges = edges_of(data)
+    assert rows(signature_build(edges, [0, 1, 3, 5, 9])) == want
+    plan = signature_build(edges, [0, 1, 3, 5, 9])._jdf.queryExecution().executedPlan().toString()
+    # distinct sources and labels, and once more by blocks; no level moves rows
+    assert plan.count("Exchange hashpartitioning") == 2
+    monkeypatch.setattr(signatures, "STEP_BITS", 2)
+    assert rows(signature_build(edges, [0, 1, 3, 5, 9])) == want

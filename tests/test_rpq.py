@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 import pathweave.functions.keyed as keyed
@@ -7,6 +9,7 @@ import pathweave.session as session
 from pathweave.functions.automaton import Automaton
 from pathweave.operators.fragments import fragment_assign, fragment_ranges, node_set
 from pathweave.plans.rpq import compose, fragment_matches, rpq, rpq_reachable
+from pathweave.sources.text import store_edges_by_source
 from tests.conftest import accepted, random_edges, rows
 
 R2 = Automaton.of("1 5 2; 2 6 2; 2 7 3")
@@ -55,7 +58,7 @@ def test_nondeterministic_automaton_across_fragments(edges_of):
     edges = edges_of(data)
     part = fragment_assign(node_set(edges), 3)
     assert rows(rpq(edges, R4)) == {(0, 9)}
-    assert rows(compose(fragment_matches(edges, part, R4), R4.final)) == {(0, 9)}
+    assert rows(compose(fragment_matches(edges, part, R4), R4)) == {(0, 9)}
 
 
 def test_cycle_ends(edges_of):
@@ -146,3 +149,65 @@ def test_round_moves_neither_edges_nor_visited_states(edges_of):
     assert late.count("Exchange hashpartitioning") == 2
     assert late.count("LeftAnti") >= 3
     assert late.count("Sort [") == 2
+
+
+def test_a_lookup_reads_the_folders_of_its_frontier(spark, edges_of, tmp_path, monkeypatch):
+    data = random_edges(4, graphs=40)
+    stored = store_edges_by_source(edges_of(data), str(tmp_path / "e"))
+    assert rows(stored.select("src", "label", "dst")) == set(data)
+    assert rows(rpq(stored, R3, strategy="lookup")) == accepted(data, R3)
+    origins = {next(s for s, lab, d in data if lab == 5 and any(x[0] == d and x[1] == 6 for x in data))}
+    read, original = [], plans.in_folders
+
+    def spy(edges, seen):
+        out = original(edges, seen)
+        read.append(len(out.inputFiles()) if not seen else out.select("folder").distinct().count())
+        return out
+
+    monkeypatch.setattr(plans, "in_folders", spy)
+    starts = spark.createDataFrame([(o,) for o in origins], "node bigint")
+    assert rows(rpq(stored, R3, starts, "lookup")) == accepted(data, R3, origins)
+    assert read and read[0] == 1 and max(read) <= 12 < stored.select("folder").distinct().count() / 4
+    # other folders are ruled out before any file is opened
+    one = original(stored, {f"folders_{i}": int(i == 0) for i in range(4)})
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"folder#\d+ = 0\)\], PushedFilters: \[\]", plan)  # a filter of partitions
+
+
+def test_a_large_frontier_is_still_looked_up(spark, monkeypatch, edges_of, tmp_path):
+    monkeypatch.setattr(plans, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(keyed, "HOT_ROWS", 4)
+    data = _hub()
+    stored = store_edges_by_source(edges_of(data), str(tmp_path / "e"))
+    monkeypatch.setattr(plans, "ProductGraph", None)  # the stored join is not what was asked for
+    assert rows(rpq(stored, R3, strategy="lookup")) == accepted(data, R3)
+    assert rows(rpq(edges_of(data), R2, strategy="lookup")) == accepted(data, R2)
+
+
+def test_rounds_store_no_start_moves(monkeypatch, edges_of):
+    kept, original = [], plans.ProductGraph
+
+    def spy(moves):
+        product = original(moves)
+        kept.append({r["q"] for r in product.moves.select("q").distinct().collect()})
+        return product
+
+    monkeypatch.setattr(plans, "ProductGraph", spy)
+    data = random_edges(1)
+    assert rows(rpq(edges_of(data), R3)) == accepted(data, R3)
+    assert rows(rpq(edges_of(data), LOOP)) == accepted(data, LOOP)
+    assert kept == [{2}, {1, 2, 3}]
+
+
+def test_composing_does_not_probe_dead_states(monkeypatch, edges_of):
+    data = random_edges(1)
+    edges, probed, original = edges_of(data), [], plans.ProductGraph.step
+    matches = fragment_matches(edges, fragment_assign(node_set(edges), 3), R2)
+
+    def spy(self, frontier, rows):
+        probed.append({r["q"] for r in frontier.select("q").distinct().collect()})
+        return original(self, frontier, rows)
+
+    monkeypatch.setattr(plans.ProductGraph, "step", spy)
+    assert rows(compose(matches, R2)) == accepted(data, R2)
+    assert probed and all(3 not in states for states in probed)
