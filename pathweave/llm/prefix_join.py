@@ -6,12 +6,13 @@ of the corpus, so that what tasks share is bounded; a class that is off makes wo
 
 Two sets of similarity ``t`` share an n-gram among the first ``n - ceil(t n) + 1`` of either one. Those of every set are
 dealt out by n-gram, and sets meet there. Whether a meeting can be a link is told by lengths and by how much of either set is
-left behind the meeting place. Few are left, and those are decided by tries: a task holds candidates of one set in a trie,
+left behind the meeting place, and then by parities of hashed members, a filter that loses nothing. What is left is decided
+by tries: a task holds candidates of one set in a trie,
 walks it with that set, frequent n-grams first, so that candidates share the overlap of what they have in common, and leaves
 a subtree when what is left in it and in the set can't reach the similarity any more.
 
-Only classes of linked documents are asked for. So sets meet twice: first by their least hashes, at one member of each
-group, which already joins most copies at linear cost; then, by the whole prefix, sets of different classes. Equal sets are
+Only classes of linked documents are asked for. So sets meet by their least hashes first, a few times, at one member of each
+group, which already joins copies at linear cost; then, by the whole prefix, sets of different classes meet. Equal sets are
 one set all the way.
 """
 
@@ -33,10 +34,11 @@ from pathweave.session import settle, small, store
 SHINGLE = 5
 PERCENT = 80
 #: Counters of n-grams, and bits of a number that hold its hash; above them is its class of frequency.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 HASH_BITS = 58
-#: Least hashes by which sets meet first.
-LEAST = 4
+#: Least hashes by which sets meet first, and how often they do, each time at another member of their groups.
+LEAST = 2
+HUBS = 2
 #: Sets of an n-gram that one task compares, by the estimate of its class, and rows of a block of that comparison.
 SHARE = 4096
 BLOCK = 1024
@@ -68,9 +70,10 @@ def shingles(text: bytes | None) -> np.ndarray:
         joined = np.array([digest(b" ".join(words), len(words))], np.uint64)
     else:
         n = len(own) - SHINGLE + 1
-        joined = np.zeros(n, np.uint64)
-        for i in range(SHINGLE):
-            joined = _mixed(joined + own[i:i + n] * _FACTORS[i])
+        joined = own[:n] * _FACTORS[0]
+        for i in range(1, SHINGLE):
+            joined += own[i:i + n] * _FACTORS[i]
+        joined = _mixed(joined)
     return np.unique(joined >> np.uint64(64 - HASH_BITS))
 
 
@@ -79,6 +82,14 @@ def identity(hashes: np.ndarray) -> int:
     return int.from_bytes(blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each of as many cells as the set has members, the next power of two: is their number in it odd? Where the
+    bits of two sets differ, one has a member that the other lacks, so that their difference is no smaller."""
+    cells = max(64, 1 << (len(hashes) - 1).bit_length())
+    counts = np.bincount(((hashes >> np.uint64(24)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def needed(n: int) -> int:
     """N-grams of a set of ``n`` that any set linked with it shares: the least whole number of ``PERCENT`` hundredths."""
     return -(-PERCENT * n // 100)
@@ -98,7 +109,7 @@ _SLICE = 1024
 
 def _count(batches):
     """Of all texts of a task, how many have an n-gram of each counter, in slices."""
-    counts, any_ = np.zeros(COUNTERS, np.int64), False
+    counts, any_ = np.zeros(COUNTERS, np.int32), False
     for batch in batches:
         for text in each_text(batch.column(0)):
             at = (shingles(text) & np.uint64(COUNTERS - 1)).astype(np.int64)
@@ -108,7 +119,8 @@ def _count(batches):
     if any_:
         rows = counts.reshape(-1, _SLICE)
         used = np.flatnonzero(rows.any(axis=1))
-        yield _slices(used, rows[used])
+        for i in range(0, len(used), 256):
+            yield _slices(used[i:i + 256], rows[used[i:i + 256]])
 
 
 def _slices(numbers, rows) -> pa.RecordBatch:
@@ -120,7 +132,7 @@ def _add(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for number, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[number] = sums.get(number, 0) + np.frombuffer(row, np.int64)
+            sums[number] = sums.get(number, 0) + np.frombuffer(row, np.int32).astype(np.int64)
     if sums:
         yield _slices(list(sums), list(sums.values()))
 
@@ -220,13 +232,14 @@ def _decide(batches):
 
 
 def _prefixes(classes):
-    """Rows ``(id, text, hash)`` in, ``(id, hash, n, node, prefix, least)`` out: the size of a text's set, its name, the
-    first numbers of its order, and its least hashes. Sets that a task has seen come without the last two."""
+    """Rows ``(id, text, hash)`` in, ``(id, hash, n, node, prefix, least, bits)`` out: the size of a text's set, its name,
+    the first numbers of its order, its least hashes and its parities. Sets that a task has seen come without the last
+    three."""
 
     def prefixes(batches):
         table, seen = classes.value, set()
         for batch in batches:
-            sizes, nodes, prefix, least = [], [], [], []
+            sizes, nodes, prefix, least, bits = [], [], [], [], []
             for text in each_text(batch.column(1)):
                 hashes = shingles(text)
                 n, node = len(hashes), identity(hashes) if len(hashes) else None
@@ -237,9 +250,11 @@ def _prefixes(classes):
                 nodes.append(node)
                 prefix.append(ordered(hashes, table)[: n - needed(n) + 1].view(np.int64) if new else None)
                 least.append(hashes[:LEAST].view(np.int64) if new else None)
+                bits.append(parities(hashes) if new else None)
             arrays = [pa.array(x, pa.list_(pa.int64())) for x in (prefix, least)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *arrays], names=["id", "hash", "n", "node", "prefix", "least"])
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *arrays, pa.array(bits, pa.binary())],
+                names=["id", "hash", "n", "node", "prefix", "least", "bits"])
 
     return prefixes
 
@@ -290,8 +305,8 @@ def _possible(a: np.ndarray, b: np.ndarray, low: int, high: int) -> np.ndarray:
     """Pairs ``(node, node)`` of two blocks, the smaller name first."""
     n, m = a[5][:, None], b[5][None, :]
     i, j = a[6][:, None], b[6][None, :]
-    # the n-gram itself, at most all before it and all behind it
-    most = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
+    # a pair is asked for where it meets first: it has nothing in common before this n-gram, and at most all from it on
+    most = np.minimum(n - i, m - j)
     ok = a[7][:, None] != b[7][None, :]
     ok &= 100 * most >= PERCENT * (n + m - most)
     ok &= 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
@@ -343,9 +358,39 @@ def _sets(classes):
     return sets
 
 
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parities over fewer cells, by adding those that fall together; ``bits`` has a row for each set."""
+    while bits.shape[1] > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _near_enough(batches):
+    """Of rows ``(a, b, n, m, bits, bits of b)`` the pairs whose parities leave a link possible. A link's difference is at
+    most ``(100 - PERCENT) / (100 + PERCENT)`` of both sizes together."""
+    for batch in batches:
+        n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        left, right = batch.column(4), batch.column(5)
+        size = np.stack([np.diff(np.frombuffer(x.buffers()[1], np.int32)[x.offset:x.offset + len(x) + 1]) for x in (left, right)])
+        differ = np.zeros(batch.num_rows, np.int64)
+        for pair in np.unique(size, axis=1).T:
+            rows = np.flatnonzero((size == pair[:, None]).all(axis=0))
+            for part in np.array_split(rows, -(-len(rows) * int(pair.max()) // (8 << 20)) or 1):
+                both = [np.frombuffer(b"".join(x.take(pa.array(part)).to_pylist()), np.uint8).reshape(len(part), -1) for x in (left, right)]
+                x, y = (_folded(b, int(pair.min())) for b in both)
+                differ[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        keep = pa.array((100 + PERCENT) * differ <= (100 - PERCENT) * (n + m))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, classes) -> DataFrame:
-    """The links among ``pairs`` ``(a, b)`` of names. ``known`` ``(node, hash)`` tells where the text of a name is among
-    ``docs`` ``(text, hash)``."""
+    """The links among ``pairs`` ``(a, b)`` of names. ``known`` ``(node, hash, n, bits)`` tells where the text of a name is
+    among ``docs`` ``(text, hash)``."""
+    for end in "ab":
+        own = known.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
+        pairs = pairs.join(own, end)
+    pairs = reachable(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b")).mapInArrow(_near_enough, "a long, b long")
     pairs, seen = store(pairs, "candidates")
     if not seen["rows"]:
         return pairs
@@ -356,9 +401,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, classes) -> D
     asked, _ = settle(asked)
     wanted, size = settle(known.join(asked.select("node").distinct(), "node", "left_semi").select("node", "hash"))
     texts = docs.join(small(wanted, size), "hash").select("node", "text")
-    sets = reachable(texts).mapInArrow(_sets(classes), "node long, hashes binary")
-    sets, _ = store(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-    rows = asked.join(sets, "node").select("probe", "part", "node", "hashes")
+    sets = reachable(texts).mapInArrow(_sets(classes), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    rows = sets.join(asked, "node").select("probe", "part", "node", "hashes")
     rows = rows.repartition("probe", "part").sortWithinPartitions("probe", "part")
     return reachable(rows).mapInArrow(_decide, "a long, b long").distinct()
 
@@ -385,10 +429,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
     kind = own.schema["id"].dataType.simpleString()
     classes = own.sparkSession.sparkContext.broadcast(frequency_classes(own))
-    slim = reachable(own).mapInArrow(_prefixes(classes), f"id {kind}, hash long, n long, node long, prefix array<long>, least array<long>")
+    slim = reachable(own).mapInArrow(_prefixes(classes), f"id {kind}, hash long, n long, node long, prefix array<long>, least array<long>, bits binary")
     slim, _ = store(slim, "prefixes")
-    known, _ = store(slim.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("hash").alias("hash")), "nodes")
-    # tasks give a set's prefix once; of several tasks one is taken
+    # tasks give a set's prefix and parities once; of several tasks one is taken
+    known, _ = store(slim.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("hash").alias("hash"), F.max("n").alias("n"), F.max("bits").alias("bits")), "nodes")
     new = slim.where("prefix is not null")
     links = links_by_least_hashes(new, own, known, classes)
     links = links.unionByName(links_by_prefixes(new, own, known, classes, links))
@@ -401,12 +445,26 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
 
 def links_by_least_hashes(new: DataFrame, docs: DataFrame, known: DataFrame, classes) -> DataFrame:
-    """Links between sets that have one of their least hashes in common, each to one set of the group only."""
+    """Links between sets that have one of their least hashes in common, each to one set of the group only. Sets that are
+    not of its class then are asked for again at another one."""
     meets, _ = settle(new.select("node", "n", F.explode("least").alias("least")).distinct())
-    hubs = meets.groupBy("least").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("m"), F.count(F.lit(1)).alias("size"))
-    hubs, _ = settle(hubs.where("size > 1").drop("size"))
-    pairs = meets.join(hubs, "least").where("node <> hub").where(100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))
-    return store(_verified(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), docs, known, classes), "links")[0]
+    links = None
+    for turn in range(HUBS):
+        # sets linked with one hub are of one class; whole components aren't needed to leave such pairs out
+        classed = meets.withColumn("class", F.col("node"))
+        if links is not None:
+            stars, seen = settle(links.groupBy(F.col("b").alias("_node")).agg(F.min("a").alias("_hub")))
+            classed = meets.join(small(stars, seen), F.col("node") == F.col("_node"), "left").withColumn("class", F.coalesce("_hub", "node")).drop("_node", "_hub")
+        classed, _ = settle(classed)
+        hub = F.min_by(F.struct("node", "n", "class"), F.xxhash64("node", F.lit(turn))).alias("hub")
+        hubs, _ = settle(classed.groupBy("least").agg(hub, F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("least", "hub"))
+        pairs = classed.join(hubs, "least").where(F.col("class") != F.col("hub.class"))
+        pairs = pairs.where(100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+        found, seen = store(_verified(pairs.distinct(), docs, known, classes), "links")
+        links = found if links is None else links.unionByName(found)
+        if not seen["rows"]:
+            break
+    return links
 
 
 def links_by_prefixes(new: DataFrame, docs: DataFrame, known: DataFrame, classes, links: DataFrame) -> DataFrame:

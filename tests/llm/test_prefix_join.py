@@ -75,8 +75,8 @@ def test_components_equal_comparing_all_pairs(spark):
 def pieces(spark, rows):
     own = frame(spark, rows).select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
     classes = spark.sparkContext.broadcast(prefix_join.frequency_classes(own))
-    slim = own.mapInArrow(prefix_join._prefixes(classes), "id long, hash long, n long, node long, prefix array<long>, least array<long>").cache()
-    known = slim.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("hash").alias("hash"))
+    slim = own.mapInArrow(prefix_join._prefixes(classes), "id long, hash long, n long, node long, prefix array<long>, least array<long>, bits binary").cache()
+    known = slim.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("hash").alias("hash"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     return slim.where("prefix is not null"), own, known, classes
 
 
@@ -125,3 +125,14 @@ def test_walk_equals_counting():
         assert sorted(prefix_join.walk(probe, sets)) == want
         hits += len(want)
     assert hits > 500
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 58, rng.integers(1, 400), dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 58, rng.integers(1, 90), dtype=np.uint64))))
+        bits = [np.frombuffer(prefix_join.parities(x), np.uint8)[None, :] for x in (a, b)]
+        size = min(x.shape[1] for x in bits)
+        x, y = (prefix_join._folded(z, size) for z in bits)
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
