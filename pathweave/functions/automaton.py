@@ -56,6 +56,16 @@ class Automaton:
         """Only the transitions of the start state."""
         return Automaton(tuple(self.leaving({START})), self.n_states, self.final)
 
+    @cached_property
+    def ending(self) -> "Automaton":
+        """Only the transitions into the final state."""
+        return Automaton(tuple(s for s in self.transitions if s[2] == self.final), self.n_states, self.final)
+
+    @cached_property
+    def reversed(self) -> "Automaton":
+        """Every transition the other way round, from the final state to the start."""
+        return Automaton(tuple((t, lab, q) for q, lab, t in self.transitions), self.n_states, START)
+
     def reaches(self, states) -> frozenset[int]:
         """States that one transition or more leads to."""
         forward = defaultdict(set)

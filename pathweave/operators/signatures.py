@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.operators.fragments import node_set
+from pathweave.session import settle, small
+from pathweave.sources.text import SUBTREE, folders_of, in_folders
 
 
 # Levels that one step between blocks and ids takes.
 STEP_BITS = 10
+# Levels that one step of a descent takes.
+STRIDE = 5
 
 
 def signature_build(edges: DataFrame, levels: list[int] | None = None) -> DataFrame:
@@ -46,15 +50,53 @@ def signature_lookup(signatures: DataFrame, level: int, groups: list[list]) -> D
     found = signatures.where(F.col("level") <= level).agg(F.max("level")).first()[0]
     if found is None:
         raise ValueError(f"the index has no level up to {level}")
-    wanted = signatures.where((F.col("level") == found) & F.col("label").isin(sorted({x for g in groups for x in g})))
-    wanted = wanted.withColumn("block", F.shiftright("block", level - found))
+    return _with_groups(_of_level(signatures, found, groups).withColumn("block", F.shiftright("block", level - found)), groups)
+
+
+def _of_level(signatures: DataFrame, level: int, groups: list[list]) -> DataFrame:
+    return signatures.where((F.col("level") == level) & F.col("label").isin(sorted({x for g in groups for x in g})))
+
+
+def _with_groups(rows: DataFrame, groups: list[list]) -> DataFrame:
     has = [F.bool_or(F.col("label").isin(g)).alias(f"g{i}") for i, g in enumerate(groups)]
-    found = wanted.groupBy("block").agg(*has)
+    found = rows.groupBy("block").agg(*has)
     for i in range(len(groups)):
         found = found.where(F.col(f"g{i}"))
     return found.select("block")
 
 
+def signature_descent(signatures: DataFrame, level: int, groups: list[list], stride: int = STRIDE) -> DataFrame:
+    """The blocks of :func:`signature_lookup`, found from the coarsest level of the index down.
+
+    A block has every label of the blocks inside it, so below a block that lacks a group nothing can qualify: a level is
+    read only under the blocks kept ``stride`` levels above. Of an index written by ``store_signatures``, a level below
+    ``SUBTREE`` is read only in the folders of the kept subtrees. A level that the index lacks is put together as
+    :func:`signature_lookup` does.
+    """
+    held = [r[0] for r in signatures.select("level").distinct().collect()]  # one number a level
+    if not [k for k in held if k <= level]:
+        raise ValueError(f"the index has no level up to {level}")
+    above = sorted((k for k in held if k > level), reverse=True)
+    # the coarsest level, one in every stride below it, and the one whose blocks are the folders' subtrees
+    path = [k for i, k in enumerate(above) if i % stride == 0 or k == SUBTREE]
+    last = level if level in held else max(k for k in held if k <= level)
+    kept, upper, seen = None, None, {}
+    for here in [*path, last]:
+        rows = _of_level(signatures, here, groups)
+        if kept is not None:
+            if here < SUBTREE and upper <= SUBTREE:
+                rows = in_folders(rows, seen)
+            # kept blocks are distinct, each the parent of a range of blocks here
+            parents = small(kept.withColumnRenamed("block", "_parent"), seen)
+            rows = rows.join(parents, F.shiftright("block", upper - here) == F.col("_parent"), "left_semi")
+        if here == last:
+            return _with_groups(rows.withColumn("block", F.shiftright("block", level - last)), groups)
+        kept = _with_groups(rows, groups)
+        folders = folders_of(F.shiftright("block", SUBTREE - here), signatures) if here <= SUBTREE else {}
+        kept, seen = settle(kept, **folders)
+        upper = here
+
+
 def block_ids(blocks: DataFrame, level: int) -> DataFrame:
     """Node ids of the blocks: ``block << level`` up to the next block, written out ``STEP_BITS`` levels at a time, so
     that no row lists more than ``2^STEP_BITS`` ids and large blocks are dealt out between steps."""

@@ -182,6 +182,9 @@ select origin, node from r1 where q = 3 intersect select origin, node from r2 wh
   group by src >> 2 having count(distinct label) = 2)
 select unnest(range(block * 4, block * 4 + 4)) as node from k""",
     "crpq_with_index": f"{ONE_GO} select origin, node from ok",
+    "crpq_by_descent": f"{ONE_GO} select origin, node from ok",
+    "crpq_one_go_reduced": f"{ONE_GO} select origin, node from ok",
+    "rpq_pairs_reduced": _rpq(HANDOFF, R2, 3),
     "fragment_assign": f"with {CHAIN}, {THIRDS} select node, part from f",
     "fragment_sizes": f"with {CHAIN}, {THIRDS} select part, count(*) as nodes from f group by part",
     "cross_edges": f"with {CHAIN}, {THIRDS}, {CROSS} select src, label, dst from x",

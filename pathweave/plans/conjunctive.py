@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.functions.automaton import START, Automaton
-from pathweave.operators.signatures import in_blocks, signature_lookup
+from pathweave.operators.signatures import in_blocks, signature_descent
 from pathweave.operators.steps import label_scan, product_edges
 from pathweave.plans.fixpoint import fixpoint
-from pathweave.plans.rpq import ProductGraph, rpq, started_from
+from pathweave.plans.rpq import Ending, ProductGraph, rpq, started_from
 from pathweave.session import settle
 
 STATE = ["origin", "node", "q", "lastq"]
@@ -49,23 +49,25 @@ def start_branch_division(edges: DataFrame, automaton: Automaton) -> DataFrame:
 
 
 def crpq_support(
-    edges: DataFrame, automaton: Automaton, index: DataFrame | None = None, level: int | None = None
+    edges: DataFrame, automaton: Automaton, index: DataFrame | None = None, level: int | None = None, reduce: bool = False
 ) -> DataFrame:
     """Qualifying pairs with the states before their last edges, ``(origin, node, lastq)``.
 
     The automaton has one branch per conjunct; branches share only the start and the final state, and each ends in a
     state of its own, so a pair qualifies when as many last states occur as there are. Sources are pruned first, by
-    their start labels or, with ``index``, by the blocks of ``level`` whose signature allows all branches.
+    their start labels or, with ``index``, by the blocks of ``level`` whose signature allows all branches, found from the
+    coarsest level down. ``reduce`` leaves out moves from which the final state isn't reached.
     """
     automaton.branches  # raises for an automaton this method does not decide; use crpq_merge then
     automaton = automaton.trimmed
     groups = automaton.start_label_groups()
-    product = ProductGraph(product_edges(edges, automaton))
+    moves = product_edges(edges, automaton)
+    product = ProductGraph(Ending(edges, automaton).moves(moves) if reduce else moves)
     begins = product.moves.where(F.col("q") == START)
     if index is None:
         begins = started_from(begins, start_branch_division(edges, automaton).withColumnRenamed("src", "node"), "src")
     else:
-        begins = in_blocks(begins, signature_lookup(index, level, groups), level)
+        begins = in_blocks(begins, signature_descent(index, level, groups), level)
     seed = begins.select(
         F.col("src").alias("origin"), F.col("dst").alias("node"), F.col("t").alias("q"), F.col("q").alias("lastq")
     )
@@ -99,9 +101,9 @@ def _last(automaton: Automaton, left: str, reached: str):
     return F.when(F.col(reached) == automaton.final, F.col(left)).otherwise(F.lit(0)).alias("lastq")
 
 
-def crpq_one_go(edges: DataFrame, automaton: Automaton) -> DataFrame:
+def crpq_one_go(edges: DataFrame, automaton: Automaton, reduce: bool = False) -> DataFrame:
     """The pairs of ``crpq_support``."""
-    return crpq_support(edges, automaton).select("origin", "node").distinct()
+    return crpq_support(edges, automaton, reduce=reduce).select("origin", "node").distinct()
 
 
 def crpq_with_index(edges: DataFrame, automaton: Automaton, index: DataFrame, level: int) -> DataFrame:

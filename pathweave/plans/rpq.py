@@ -39,6 +39,36 @@ class ProductGraph:
         return self.keyed.join(frontier.withColumnRenamed("node", "src"), rows)
 
 
+class Ending:
+    """States ``(node, q)`` from which the final state is reached, found backwards from the ends of the last edges. These
+    rounds carry no origins, so they move at most one row a state however many pairs there are, and what is then
+    stored for the rounds forwards has no move that answers nothing."""
+
+    def __init__(self, edges: DataFrame, automaton: Automaton):
+        moves = product_edges(edges, automaton.inner)
+        back = ProductGraph(moves.select(F.col("dst").alias("src"), F.col("t").alias("q"), F.col("src").alias("dst"), F.col("q").alias("t")))
+        ends = product_edges(edges, automaton.ending).select(F.col("dst").alias("node"), F.col("t").alias("q"))
+        turned = automaton.inner.reversed
+        visited = fixpoint(
+            back.spark,
+            ends,
+            lambda frontier, rows, tags: _pairs(back.step(_leaving(frontier, turned, tags), 0)),
+            ["node", "q"],
+            back.parts,
+            frozenset({automaton.final}),
+            turned.successors,
+            back.keyed.relay,
+        )
+        self.rows = visited.rows
+        found = visited.table()
+        self.states = ends.limit(0) if found is None else found
+
+    def moves(self, moves: DataFrame) -> DataFrame:
+        """Those of ``moves`` that lead to such a state."""
+        keys = self.states.select(F.col("node").alias("dst"), F.col("q").alias("t"))
+        return moves.join(small(keys, self.rows), ["dst", "t"], "left_semi").select(*moves.columns)
+
+
 def rpq(
     edges: DataFrame,
     automaton: Automaton,
@@ -51,7 +81,8 @@ def rpq(
 
     ``strategy``: ``"join"`` stores the edges the automaton can use once and probes them each round; ``"lookup"``
     reads from ``edges``, a stored table, only what each round's frontier and labels need; ``"fragments"`` evaluates
-    inside the fragments of ``fragment`` first and then composes.
+    inside the fragments of ``fragment`` first and then composes; ``"reduce"`` is ``"join"`` over the moves alone from
+    which the final state is reached, which pays where most paths end nowhere.
     """
     automaton = automaton.trimmed
     if strategy == "fragments":
@@ -60,8 +91,12 @@ def rpq(
     if strategy == "lookup":
         return _answers(edges.sparkSession, _lookup(edges, automaton, starts, max_rounds), automaton.final)
     # the first edges are read from the table: what is stored for the rounds has only moves that rounds can make
-    product = ProductGraph(product_edges(edges, automaton.inner))
-    seed = product_start(product_edges(edges, automaton.beginning))
+    inner, beginning = product_edges(edges, automaton.inner), product_edges(edges, automaton.beginning)
+    if strategy == "reduce":
+        ending = Ending(edges, automaton)
+        inner, beginning = ending.moves(inner), ending.moves(beginning)
+    product = ProductGraph(inner)
+    seed = product_start(beginning)
     if starts is not None:
         seed = started_from(seed, starts, "origin")
     visited = fixpoint(

@@ -244,6 +244,13 @@ def signature_lookup(spark, folder):
     return signatures.block_ids(signatures.signature_lookup(index, LEVEL, [[5], [8]]), LEVEL)
 
 
+def crpq_by_descent(spark, folder):
+    """Sources pruned by an index stored in folders, read from the coarsest level down to single ids."""
+    edges = _handoff(spark, folder)
+    index = text.store_signatures(signatures.signature_build(edges), scratch_path(spark, "index"))
+    return conjunctive.crpq_with_index(edges, BOTH, index, 0)
+
+
 # --- fragments and partitioning
 
 
@@ -363,6 +370,9 @@ QUERIES = {
     "signature_load": signature_load,
     "signature_lookup": signature_lookup,
     "crpq_with_index": lambda s, d: conjunctive.crpq_with_index(_handoff(s, d), BOTH, _index(s, d), LEVEL),
+    "crpq_by_descent": crpq_by_descent,
+    "crpq_one_go_reduced": lambda s, d: conjunctive.crpq_one_go(_handoff(s, d), BOTH, reduce=True),
+    "rpq_pairs_reduced": lambda s, d: rpq.rpq(_handoff(s, d), R2, strategy="reduce"),
     "fragment_assign": lambda s, d: _thirds(_chain(s, d)),
     "fragment_sizes": lambda s, d: fragments.fragment_sizes(_thirds(_chain(s, d))),
     "cross_edges": lambda s, d: fragments.cross_edges(_chain(s, d), _thirds(_chain(s, d))),

@@ -48,7 +48,11 @@ def store_edges(edges: DataFrame, path: str) -> DataFrame:
 FOLDERS = 256
 
 
-def _folder(src: str) -> Column:
+#: Level of an index of signatures whose blocks are kept together in one folder, with all levels below them.
+SUBTREE = 10
+
+
+def _folder(src: str | Column) -> Column:
     return F.pmod(F.xxhash64(src), F.lit(FOLDERS)).cast("int")
 
 
@@ -65,7 +69,7 @@ def store_edges_by_source(edges: DataFrame, path: str) -> DataFrame:
     return edges.sparkSession.read.schema(schema).parquet(path)
 
 
-def folders_of(node: str, edges: DataFrame) -> dict[str, Column]:
+def folders_of(node: str | Column, edges: DataFrame) -> dict[str, Column]:
     """Aggregates that tell in which folders of ``edges`` the sources ``node`` lie, as bits; none for another table."""
     if "folder" not in edges.columns:
         return {}
@@ -158,6 +162,21 @@ def write_signatures(signatures: DataFrame, path: str) -> None:
     lines.write.partitionBy("level").text(path)
 
 
+def store_signatures(signatures: DataFrame, path: str) -> DataFrame:
+    """``(level, block, label)`` as parquet in folders by level and, below level ``SUBTREE``, by a hash of the block of that
+    level they lie in, for ``signature_descent``; sorted by label inside.
+
+    Ranges go over whole rows, so that no level, subtree or label is one task.
+    """
+    root = F.expr(f"shiftright(block, greatest({SUBTREE} - level, 0))")
+    folder = F.when(F.col("level") <= SUBTREE, _folder(root)).otherwise(F.lit(0))
+    by = ["level", "folder", "label", "block"]
+    rows = signatures.withColumn("folder", folder)
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("level", "folder").parquet(path)
+    kind = signatures.schema["label"].dataType.simpleString()
+    return signatures.sparkSession.read.schema(f"block bigint, label {kind}, level int, folder int").parquet(path)
+
+
 def read_signatures(spark: SparkSession, path: str, level: int | None = None) -> DataFrame:
     """Signature files in long form ``(level, block, label)``.
 

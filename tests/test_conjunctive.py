@@ -2,7 +2,7 @@ import pytest
 
 from pathweave.functions.automaton import Automaton
 from pathweave.operators import signatures
-from pathweave.operators.signatures import block_ids, signature_build, signature_lookup
+from pathweave.operators.signatures import block_ids, signature_build, signature_descent, signature_lookup
 from pathweave.plans.conjunctive import (
     crpq_merge,
     crpq_one_go,
@@ -11,6 +11,7 @@ from pathweave.plans.conjunctive import (
     start_branch_division,
     start_label_division,
 )
+from pathweave.sources.text import store_signatures
 from tests.conftest import accepted, random_edges, rows
 
 # joint automaton, its conjuncts
@@ -31,11 +32,40 @@ def test_methods_agree(edges_of, joint, parts):
     together = Automaton.of(joint)
     assert rows(crpq_merge(edges, automata)) == want
     assert rows(crpq_one_go(edges, together)) == want
+    assert rows(crpq_one_go(edges, together, reduce=True)) == want
     index = signature_build(edges)
     for level in (0, 2):
         assert rows(crpq_with_index(edges, together, index, level)) == want
 
 
+def test_descent_equals_lookup(edges_of, tmp_path):
+    data = [(s * 97, lab, t) for s, lab, t in random_edges(8, graphs=40)]
+    index = signature_build(edges_of(data), list(range(0, 16))).persist()
+    stored = store_signatures(index, str(tmp_path / "index"))
+    for groups, level in (([[5], [6]], 0), ([[5, 6], [7], [8]], 3), ([[5], [6]], 12), ([[5], [9]], 0)):
+        want = {(b,) for b in {s >> level for s, _, _ in data} if all({lab for s, lab, _ in data if s >> level == b} & set(g) for g in groups)}
+        assert rows(signature_descent(stored, level, groups)) == want
+    assert rows(signature_descent(index, 3, [[5, 6], [7], [8]], 4)) == rows(signature_lookup(index, 3, [[5, 6], [7], [8]]))
+    assert rows(signature_descent(index.where("level in (2, 9)"), 4, [[5]])) == rows(signature_lookup(index, 4, [[5]]))
+    with pytest.raises(ValueError):
+        signature_descent(index.where("level > 4"), 3, [[5]])
+
+
+def test_descent_reads_below_kept_blocks_only(edges_of, tmp_path, monkeypatch):
+    """Label 5 everywhere, label 6 in two subtrees: of 64, two are read at level 0."""
+    data = [(n * 512 + i, 5, 0) for n in range(128) for i in range(4)] + [(700, 6, 0), (60_000, 6, 0), (513, 6, 0)]
+    stored = store_signatures(signature_build(edges_of(data), list(range(0, 17))), str(tmp_path / "index"))
+    read, original = [], signatures.in_folders
+
+    def spy(table, seen):
+        read.append(original(table, seen).where("level = 0").count())
+        return original(table, seen)
+
+    monkeypatch.setattr(signatures, "in_folders", spy)
+    assert rows(signature_descent(stored, 0, [[5], [6]])) == {(513,)}
+    assert read and max(read) <= 40 < stored.where("level = 0").count() / 10
+
+
 def test_an_index_without_the_level(edges_of):
     data = random_edges(5, nodes=7, edges=30)
     edges, (joint, parts) = edges_of(data), CASES[0]

@@ -25,12 +25,13 @@ def test_all_strategies_equal_plain_search(spark, edges_of, automaton):
     assert want
     assert rows(rpq(edges, automaton)) == want
     assert rows(rpq(edges, automaton, strategy="lookup")) == want
+    assert rows(rpq(edges, automaton, strategy="reduce")) == want
     ranges = fragment_ranges(node_set(edges), 30, 144)
     assert rows(rpq(edges, automaton, strategy="fragments", fragment=ranges)) == want
     assert rows(rpq_reachable(edges, automaton)) == {(node,) for _, node in want}
 
 
-@pytest.mark.parametrize("strategy", ["join", "lookup", "fragments"])
+@pytest.mark.parametrize("strategy", ["join", "lookup", "fragments", "reduce"])
 def test_given_starts(spark, edges_of, strategy):
     data = random_edges(2)
     origins = {0, 13, 27, 40, 999}
@@ -53,6 +54,20 @@ def test_a_start_with_many_edges_is_spread(spark, edges_of):
     assert found.rdd.getNumPartitions() == 8 and found.count() == 4000
 
 
+def test_moves_that_end_nowhere_are_left_out(spark, edges_of):
+    """A long dead end and one that only leaves a cycle: neither is stored for the rounds forwards."""
+    data = [(0, 5, 1), (1, 7, 2), (3, 5, 4)] + [(n, 6, n + 1) for n in range(4, 12)] + [(20, 6, 21), (21, 6, 20), (3, 5, 20)]
+    edges = edges_of(data)
+    ending = plans.Ending(edges, R2)
+    assert rows(ending.states) == {(2, 3), (1, 2)}
+    assert rows(ending.moves(plans.product_edges(edges, R2))) == {(0, 1, 1, 2), (1, 2, 2, 3)}
+    assert rows(rpq(edges, R2, strategy="reduce")) == {(0, 2)}
+    # a transition from the start to the final state, and an answer to none
+    direct = Automaton.of("1 5 3; 1 6 2; 2 7 3")
+    assert rows(rpq(edges, direct, strategy="reduce")) == accepted(data, direct)
+    assert rows(rpq(edges, Automaton.of("1 5 2; 2 9 3"), strategy="reduce")) == set()
+
+
 def test_nondeterministic_automaton_across_fragments(edges_of):
     data = [(0, 5, 3), (3, 5, 6), (6, 6, 9)]
     edges = edges_of(data)
