@@ -1,5 +1,7 @@
 import pytest
 
+import pathweave.functions.keyed as keyed
+import pathweave.sources.derived as derived
 from pathweave.functions.automaton import Automaton
 from pathweave.functions.rank import global_rank
 from pathweave.operators import layout, relabel
@@ -175,3 +177,46 @@ def test_label_frequency_adds_up(edges_of):
     found = label_frequency(edges_of(random_edges(14))).collect()
     shares = [r["share"] for r in found]
     assert shares == sorted(shares) and abs(sum(shares) - 1) < 1e-9
+
+
+def _successors(table):
+    """By plain search: rows of a known key, each with the value of the next one."""
+    found = []
+    for k in {r[0] for r in table if r[0] is not None}:
+        mine = sorted(r for r in table if r[0] == k)
+        found += [(k, a[1], b[2]) for a, b in zip(mine, mine[1:])]
+    return sorted(found, key=str)
+
+
+def _initial_plan(df):
+    return df.select("*")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_successor_moves_rows_of_plain_keys_once(spark, monkeypatch):
+    table = [(k, v, None if v == 3 else 10 * v) for k in range(6) for v in range(k + 2)] + [(None, 1, 1), (None, 2, 2)]
+    table += [(9, v, v) for v in range(40)]
+    df = spark.createDataFrame(table, "k int, v int, w int")
+    monkeypatch.setattr(derived, "global_rank", lambda *_: pytest.fail("a global order of keys that fit a partition"))
+    plain = successor(df, ["k"], ["v"], "w").select("k", "v", "next")
+    assert sorted(map(tuple, plain.collect()), key=str) == _successors(table)
+    plan = _initial_plan(plain)
+    assert plan.count("hashpartitioning") == 1 and "Join" not in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("steps", [1, 2])
+def test_successor_of_a_hot_key(spark, monkeypatch, steps):
+    monkeypatch.setattr(keyed, "HOT_ROWS", 5)
+    used = []
+    monkeypatch.setattr(derived, "_by_position", lambda df, *rest, run=derived._by_position: used.append(df.count()) or run(df, *rest))
+    table = [(k, v) for k in range(30) for v in range(3)] + [(77, v) for v in range(100)] + [(None, v) for v in range(50)]
+    found = successor(spark.createDataFrame(table, "k int, v int"), ["k"], ["v"], "v", steps).select("k", "v", "next")
+    want = [(k, v, v + steps) for k, v in table if k is not None and v + steps < (100 if k == 77 else 3)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert used == [100]
+
+
+def test_stored_edges_are_dealt_out_once(spark, tmp_path):
+    data = [(s, 5 + s % 2, d) for s in range(20) for d in range(5)]
+    edges = spark.createDataFrame(data + data, "src bigint, label int, dst bigint")
+    assert sorted(map(tuple, text.store_edges(edges, str(tmp_path / "e")).collect())) == sorted(data)
+    assert "hashpartitioning" not in _initial_plan(text.by_label(edges))
