@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.operators.fragments import node_set
@@ -20,8 +20,9 @@ def signature_build(edges: DataFrame, levels: list[int] | None = None) -> DataFr
     """``(level, block, label)`` for ``levels``, by default 0 to the whole logarithm of the number of nodes.
 
     Edges are reduced to distinct ``(src, label)`` and dealt out by blocks of ``STEP_BITS`` levels, once: all levels up to
-    there are then made in place, a block lying in one partition with all it consists of. Levels above are made from the
-    distinct rows of that one, a small part, in the same way.
+    there are then made in place, a block lying in one partition with all it consists of. There the blocks of a label are
+    put in order, so that a block is new on just those levels on which the one before lies in another, and no table of
+    blocks is held. Levels above are made from the distinct rows of the last one, a small part, in the same way.
     """
     if levels is None:
         # the length in bits, which unlike a floating logarithm is exact at powers of two
@@ -32,8 +33,7 @@ def signature_build(edges: DataFrame, levels: list[int] | None = None) -> DataFr
         levels = [k for k in levels if k > base + STEP_BITS]
         rows = rows.withColumn("_top", F.shiftright("block", STEP_BITS)).repartition("_top")
         wanted = sorted(set(here) | ({base + STEP_BITS} if levels else set()))
-        exploded = rows.select("_top", "block", "label", F.explode(F.array(*map(F.lit, wanted))).alias("level"))
-        blocks = exploded.select("_top", "level", F.expr(f"shiftright(block, level - {base})").alias("block"), "label").distinct()
+        blocks = _new_blocks(rows, wanted, base)
         own = blocks.where(F.col("level").isin(here)).select("level", "block", "label")
         made = own if made is None else made.unionByName(own)
         base += STEP_BITS
@@ -41,6 +41,21 @@ def signature_build(edges: DataFrame, levels: list[int] | None = None) -> DataFr
     return made
 
 
+def _new_blocks(rows: DataFrame, levels: list[int], base: int) -> DataFrame:
+    """Distinct ``(level, block, label)`` for ``rows`` ``(_top, block, label)`` of level ``base``, none of them twice."""
+    before = F.lag("block").over(Window.partitionBy("_top", "label").orderBy("block"))
+
+    def within(block: str, level: Column) -> Column:
+        return F.call_function("shiftright", F.col(block), level - base)
+
+    def new(level: Column) -> Column:
+        return F.col("_before").isNull() | (within("block", level) != within("_before", level))
+
+    started = F.explode(F.filter(F.array(*map(F.lit, levels)), new)).alias("level")
+    rows = rows.withColumn("_before", before).select("block", "label", started)
+    return rows.select("level", within("block", F.col("level")).alias("block"), "label")
+
+
 def signature_lookup(signatures: DataFrame, level: int, groups: list[list]) -> DataFrame:
     """Blocks of ``level`` with at least one label of every group (groups of one label each ask for all labels).
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import pathweave.functions.keyed as keyed
@@ -220,3 +222,15 @@ def test_stored_edges_are_dealt_out_once(spark, tmp_path):
     edges = spark.createDataFrame(data + data, "src bigint, label int, dst bigint")
     assert sorted(map(tuple, text.store_edges(edges, str(tmp_path / "e")).collect())) == sorted(data)
     assert "hashpartitioning" not in _initial_plan(text.by_label(edges))
+
+
+def test_signatures_hold_no_table_of_blocks(spark, edges_of):
+    rng = random.Random(5)
+    data = [(rng.choice([rng.randrange(40), rng.randrange(5000), 2**21 + rng.randrange(9)]), rng.randrange(4), 1) for _ in range(400)]
+    levels = [0, 1, 3, 9, 10, 11, 20, 21]
+    index = signature_build(edges_of(data + [(7, 2, 9), (7, 2, 8)]), levels)
+    want = sorted({(k, s >> k, lab) for s, lab, _ in [*data, (7, 2, 9)] for k in levels})
+    assert sorted(map(tuple, index.collect())) == want
+    # the one distinct is that of sources and labels, in two steps, for each branch of the plan
+    plan = signature_build(edges_of(data), [0, 3])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2
