@@ -14,6 +14,7 @@ from pathweave.operators.fragments import (
     locality_flags,
     node_set,
 )
+from pathweave.operators.gains import neighbours
 from pathweave.operators.signatures import signature_build
 from pathweave.operators.stats import label_frequency
 from pathweave.operators.steps import label_scan_sources
@@ -234,3 +235,14 @@ def test_signatures_hold_no_table_of_blocks(spark, edges_of):
     # the one distinct is that of sources and labels, in two steps, for each branch of the plan
     plan = signature_build(edges_of(data), [0, 3])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2
+
+
+def test_neighbours_are_counted_in_one_exchange(spark, edges_of):
+    data = random_edges(3, graphs=3) + [(1, 5, 2), (2, 5, 1), (1, 6, 2), (1, 5, 1)]
+    found = neighbours(edges_of(data))
+    assert "Exchange hashpartitioning" in (plan := found._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("Exchange hashpartitioning") == 1
+    data = set(data)
+    m = lambda p, q: sum((s, d) == (p, q) for s, _, d in data)
+    want = {(p, q, m(p, q) + m(q, p), m(q, p)) for s, _, d in data if s != d for p, q in ((s, d), (d, s))}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
