@@ -9,8 +9,9 @@ from pathweave.functions.automaton import START, Automaton
 from pathweave.operators.signatures import in_blocks, signature_descent
 from pathweave.operators.steps import label_scan, product_edges
 from pathweave.plans.fixpoint import fixpoint
-from pathweave.plans.rpq import Ending, ProductGraph, rpq, started_from
-from pathweave.session import settle
+from pathweave.plans.middle import group_of, middle
+from pathweave.plans.rpq import Answers, Ending, ProductGraph, answers, started_from
+from pathweave.session import settle, small
 
 STATE = ["origin", "node", "q", "lastq"]
 
@@ -20,12 +21,13 @@ def crpq_merge(edges: DataFrame, automata: list[Automaton]) -> DataFrame:
     counted = [(_start_edges(edges, a), i) for i, a in enumerate(automata)]
     found = None
     for _, i in sorted(counted):  # the one with the fewest first edges prunes most for the least
-        starts = None if found is None else found.select(F.col("origin").alias("node")).distinct()
-        pairs = rpq(edges, automata[i], starts)
-        found, seen = settle(pairs if found is None else pairs.join(found, ["origin", "node"], "left_semi"))
-        if not seen["rows"]:
+        pairs = answers(edges, automata[i], None if found is None else found.origin_set())
+        found = pairs if found is None else found.also(pairs)
+        kept, seen = settle(found.found)
+        found = Answers(kept, found.origins, found.ends)
+        if not seen["rows"] and (found.origins is None or found.origins.isEmpty() or found.ends.isEmpty()):
             break
-    return found
+    return found.table()
 
 
 def _start_edges(edges: DataFrame, automaton: Automaton) -> int:
@@ -62,7 +64,13 @@ def crpq_support(
     automaton = automaton.trimmed
     groups = automaton.start_label_groups()
     moves = product_edges(edges, automaton)
-    product = ProductGraph(Ending(edges, automaton).moves(moves) if reduce else moves)
+    if reduce:
+        moves = Ending(edges, automaton).moves(moves)
+    # a state in the middle of a branch, where one answers so many pairs that they aren't followed one by one
+    between = middle(moves.where(F.col("q") != START), automaton, automaton.branches)
+    if between is not None:
+        moves = between.moves(moves)
+    product = ProductGraph(moves)
     begins = product.moves.where(F.col("q") == START)
     if index is None:
         begins = started_from(begins, start_branch_division(edges, automaton).withColumnRenamed("src", "node"), "src")
@@ -72,17 +80,25 @@ def crpq_support(
         F.col("src").alias("origin"), F.col("dst").alias("node"), F.col("t").alias("q"), F.col("q").alias("lastq")
     )
 
+    keys = STATE
+    if between is not None:
+        keys = [*STATE, "through"]
+        seed, origins = between.seeds(seed)
+
     def expand(frontier: DataFrame, rows: int, tags: frozenset) -> DataFrame:
         # nothing leaves the final state, and where a state came from does not matter before the final one
-        moved = product.step(frontier.where(F.col("q") != automaton.final).select("origin", "node", "q"), rows)
-        return moved.select("origin", F.col("dst").alias("node"), F.col("t").alias("q"), _last(automaton, "q", "t"))
+        left = frontier.where(F.col("q") != automaton.final).drop("lastq")
+        moved = product.step(left, rows)
+        if between is not None:
+            moved = moved.where(~(F.col("through") & F.col("after")))
+        return moved.select("origin", F.col("dst").alias("node"), F.col("t").alias("q"), _last(automaton, "q", "t"), *keys[len(STATE):])
 
     seed = seed.withColumn("lastq", F.when(F.col("q") == automaton.final, F.col("lastq")).otherwise(F.lit(0)))
     visited = fixpoint(
         product.spark,
         seed,
         expand,
-        STATE,
+        keys,
         product.parts,
         automaton.successors({START}),
         automaton.successors,
@@ -90,13 +106,41 @@ def crpq_support(
     )
     found = visited.table(frozenset({automaton.final}))
     if found is None:
-        return product.spark.createDataFrame([], "origin bigint, node bigint, lastq int")
+        found = product.spark.createDataFrame([], "origin bigint, node bigint, q int, lastq int")
     ends = found.where(F.col("q") == automaton.final).select("origin", "node", "lastq")
+    if between is not None:
+        return _through(ends, origins, between.ends(automaton.final), automaton, between.found)
     complete = ends.groupBy("origin", "node").agg(F.count(F.lit(1)).alias("_n"))
     complete = complete.where(F.col("_n") == len(automaton.last_states)).select("origin", "node")
     return ends.join(complete, ["origin", "node"], "left_semi")
 
 
+def _through(ends: DataFrame, origins: DataFrame, after: DataFrame, automaton: Automaton, found: set[int]) -> DataFrame:
+    """Qualifying pairs of ``crpq_support`` where branches ``found`` have a middle: a pair has the last state of such a branch
+    also if its origin, in ``origins`` ``(origin, group)``, and its node, in ``after`` ``(node, group)``, have the branch."""
+    branches = automaton.branches
+    of_last = {q: branches[q] for q in automaton.last_states}
+    every = sum(1 << g for g in of_last.values())
+
+    def bits(rows: DataFrame, group, *by: str) -> DataFrame:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), group)
+        return rows.dropna(subset=list(by)).groupBy(*by).agg(F.bit_or(bit).alias(f"{by[-1]}_has" if len(by) == 1 else "has"))
+
+    pairs, _ = settle(bits(ends, group_of(of_last, "lastq"), "origin", "node"))
+    origins, n_origins = settle(bits(origins, F.col("group"), "origin"))
+    after, n_after = settle(bits(after, F.col("group"), "node"))
+    had = pairs.join(small(origins, n_origins), "origin", "left").join(small(after, n_after), "node", "left")
+    both = F.coalesce(F.col("origin_has").bitwiseAND(F.col("node_has")), F.lit(0).cast("bigint"))
+    complete = had.where(F.col("has").bitwiseOR(both) == every).select("origin", "node")
+    if found == set(of_last.values()):
+        # pairs that no round found: every branch has a middle that answers them
+        all_of = Answers(pairs.select("origin", "node").limit(0), origins.where(F.col("origin_has") == every).select("origin"),
+                         after.where(F.col("node_has") == every).select("node"))
+        complete = complete.unionByName(all_of.table().join(pairs, ["origin", "node"], "left_anti"))
+    lasts = F.array(*(F.lit(q).cast("int") for q in automaton.last_states))
+    return complete.withColumn("lastq", F.explode(lasts))
+
+
 def _last(automaton: Automaton, left: str, reached: str):
     return F.when(F.col(reached) == automaton.final, F.col(left)).otherwise(F.lit(0)).alias("lastq")
 
