@@ -6,13 +6,15 @@ of the corpus, so that what tasks share is bounded; a class that is off makes wo
 
 Two sets of similarity ``t`` share an n-gram among the first ``n - ceil(t n) + 1`` of either one. Those of every set are
 dealt out by n-gram, and sets meet there. Whether a meeting can be a link is told by lengths and by how much of either set is
-left behind the meeting place, and then by parities of hashed members, a filter that loses nothing. What is left is decided
+left behind the meeting place, and by parities of hashed members, a filter that loses nothing: where many sets meet, before a
+pair is made, and for all pairs then. What is left is decided
 by tries: a task holds candidates of one set in a trie,
 walks it with that set, frequent n-grams first, so that candidates share the overlap of what they have in common, and leaves
 a subtree when what is left in it and in the set can't reach the similarity any more.
 
 Only classes of linked documents are asked for. So sets meet by their least hashes first, a few times, at one member of each
-group, which already joins copies at linear cost; then, by the whole prefix, sets of different classes meet. Equal sets are
+group, which already joins copies at linear cost: first at the one whose rarest n-grams are the most frequent, the copy with
+the fewest changes, which others are nearest to; then, by the whole prefix, sets of different classes meet. Equal sets are
 one set all the way.
 """
 
@@ -42,6 +44,10 @@ HUBS = 2
 #: Sets of an n-gram that one task compares, by the estimate of its class, and rows of a block of that comparison.
 SHARE = 4096
 BLOCK = 1024
+#: Class of frequency from which n-grams bring parities to where sets meet, and members of a set that does so at most: its
+#: parities go with each n-gram of its prefix.
+CROWDED = 5
+MEMBERS = 1024
 #: Candidates in one trie.
 CANDIDATES = 256
 
@@ -259,24 +265,29 @@ def _prefixes(classes):
     return prefixes
 
 
+#: Numbers of a set where it meets others, before its parities: ``before`` is the n-gram before this one in its prefix.
+_MEETING = ["gram", "low", "high", "share", "node", "n", "at", "class", "before"]
+
+
 def _meet(batches):
-    """Rows ``(gram, low, high, share, node, n, at, class)`` sorted by their first three: candidate pairs of one n-gram, of
-    different classes, that lengths and places leave possible."""
-    held = None
+    """Rows ``(*_MEETING, bits)`` sorted by their first three: candidate pairs of one n-gram, of different classes, that
+    lengths, places and parities, where there are any, leave possible."""
+    held = bits = None
     for batch in batches:
-        now = np.stack([batch.column(i).to_numpy() for i in range(8)])
-        now = now if held is None else np.concatenate((held, now), axis=1)
+        now, own = np.stack([batch.column(i).to_numpy() for i in range(9)]), batch.column(9)
+        if held is not None:
+            now, own = np.concatenate((held, now), axis=1), pa.concat_arrays([bits, own])
         if not now.shape[1]:
             continue
         change = np.flatnonzero((now[:3, 1:] != now[:3, :-1]).any(axis=0)) + 1
         cuts = np.concatenate(([0], change))
-        yield from _pairs(now[:, : cuts[-1]], cuts)
-        held = now[:, cuts[-1]:]
+        yield from _pairs(now[:, : cuts[-1]], own, cuts)
+        held, bits = now[:, cuts[-1]:], own.slice(cuts[-1])
     if held is not None and held.shape[1]:
-        yield from _pairs(held, np.array([0, held.shape[1]]))
+        yield from _pairs(held, bits, np.array([0, held.shape[1]]))
 
 
-def _pairs(rows: np.ndarray, cuts: np.ndarray):
+def _pairs(rows: np.ndarray, bits: pa.Array, cuts: np.ndarray):
     sizes = np.diff(cuts)
     if not len(sizes):
         return
@@ -287,13 +298,18 @@ def _pairs(rows: np.ndarray, cuts: np.ndarray):
     mixed = np.flatnonzero((sizes > 1) & (total[cuts[1:] - 1] > total[cuts[:-1]]))
     out = []
     for g in mixed:
-        part = rows[:, cuts[g]:cuts[g + 1]]
+        part, own = rows[:, cuts[g]:cuts[g + 1]], bits.slice(cuts[g], sizes[g])
+        levels = None if own.null_count == len(own) else _levels(own.to_pylist())
         low, high = part[1, 0], part[2, 0]
         for i in range(0, part.shape[1], BLOCK):
-            a = part[:, i:i + BLOCK]
             for j in range(i, part.shape[1], BLOCK):
-                b = part[:, j:j + BLOCK]
-                out.append(_possible(a, b, low, high))
+                x, y = _possible(part[:, i:i + BLOCK], part[:, j:j + BLOCK], low, high)
+                x, y = x + i, y + j
+                if levels is not None and len(x):
+                    near = _within(levels, x, y, part[5, x] + part[5, y])
+                    x, y = x[near], y[near]
+                left, right = part[4, x], part[4, y]
+                out.append(np.stack((np.minimum(left, right), np.maximum(left, right)), axis=1))
         if sum(map(len, out)) > 100_000:
             yield _batch(out)
             out = []
@@ -301,20 +317,49 @@ def _pairs(rows: np.ndarray, cuts: np.ndarray):
         yield _batch(out)
 
 
-def _possible(a: np.ndarray, b: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Pairs ``(node, node)`` of two blocks, the smaller name first."""
+def _possible(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two blocks of pairs that classes, lengths and places leave possible."""
     n, m = a[5][:, None], b[5][None, :]
     i, j = a[6][:, None], b[6][None, :]
     # a pair is asked for where it meets first: it has nothing in common before this n-gram, and at most all from it on
     most = np.minimum(n - i, m - j)
     ok = a[7][:, None] != b[7][None, :]
+    # the n-gram before is in both too: they have met there, where no less was possible
+    ok &= (a[8][:, None] != b[8][None, :]) | (i == 0) | (j == 0)
     ok &= 100 * most >= PERCENT * (n + m - most)
     ok &= 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
     if low != high:
         ok &= a[3][:, None] != b[3][None, :]  # pairs of one share meet in that share's own cell
-    x, y = np.nonzero(ok)
-    left, right = a[4][x], b[4][y]
-    return np.stack((np.minimum(left, right), np.maximum(left, right)), axis=1)
+    return np.nonzero(ok)
+
+
+def _levels(bits: list[bytes | None]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Sizes of parities in bytes, none being 0, and for each size that occurs those of all sets that have as many or more,
+    folded to it."""
+    sizes = np.array([len(b or b"") for b in bits])
+    own = {t: np.frombuffer(b"".join(b for b in bits if b and len(b) == t), np.uint8).reshape(-1, t) for t in np.unique(sizes[sizes > 0])}
+    levels = {}
+    for size in own:
+        levels[size] = np.zeros((len(bits), size), np.uint8)
+        for t in (t for t in own if t >= size):
+            levels[size][sizes == t] = _folded(own[t], size)
+    return sizes, levels
+
+
+def _within(levels: tuple[np.ndarray, dict[int, np.ndarray]], x: np.ndarray, y: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Which pairs of sets, ``both`` of their members together, can be linked by their parities."""
+    sizes, folded = levels
+    least, differ = np.minimum(sizes[x], sizes[y]), np.zeros(len(x), np.int64)
+    for size in np.unique(least[least > 0]):
+        rows = np.flatnonzero(least == size)
+        for part in np.array_split(rows, -(-len(rows) * int(size) // (8 << 20)) or 1):
+            differ[part] = np.bitwise_count(folded[size][x[part]] ^ folded[size][y[part]]).sum(axis=1, dtype=np.int64)
+    return _can_link(differ, both)
+
+
+def _can_link(differ: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """A link's difference is at most ``(100 - PERCENT) / (100 + PERCENT)`` of both sizes together."""
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * both
 
 
 def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -323,19 +368,24 @@ def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs of ``nodes`` ``(node, n, prefix, class)`` that meet in their prefixes and may be linked.
+    """Pairs of ``nodes`` ``(node, n, prefix, bits, class)`` that meet in their prefixes and may be linked.
 
-    An n-gram of a class of many documents is cut into shares, and each pair of shares is a cell of its own.
+    An n-gram of a class of many documents is cut into shares, and each pair of shares is a cell of its own. There are many
+    pairs there, so sets of up to ``MEMBERS`` bring their parities to n-grams from the class ``CROWDED`` on.
     """
-    places = nodes.select("node", "n", "class", F.posexplode("prefix").alias("at", "gram"))
+    own = "prefix as gram", "slice(concat(array(0L), prefix), 1, size(prefix)) as before"
+    nodes = nodes.select("node", "n", "class", "bits", F.struct(*map(F.expr, own)).alias("_p"))
+    places = nodes.select("node", "n", "class", "bits", F.posexplode(F.arrays_zip("_p.gram", "_p.before")).alias("at", "_p"))
+    places = places.select("node", "n", "class", "bits", "at", F.col("_p.gram").alias("gram"), F.col("_p.before").alias("before"))
     frequency = F.shiftrightunsigned("gram", HASH_BITS)
+    places = places.withColumn("bits", F.when((frequency >= CROWDED) & (F.col("n") <= MEMBERS), F.col("bits")))
     shares = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), frequency) / SHARE)).cast("int")
     places = places.withColumn("shares", shares).withColumn("share", F.pmod(F.xxhash64("node"), "shares").cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda o: F.struct(F.least("share", o).alias("low"), F.greatest("share", o).alias("high")))
-    single = places.where("shares = 1").select("gram", F.lit(0).alias("low"), F.lit(0).alias("high"), "share", "node", "n", "at", "class")
-    several = places.where("shares > 1").withColumn("cell", F.explode(cells)).select("gram", "cell.low", "cell.high", "share", "node", "n", "at", "class")
-    rows = single.unionByName(several).select(*(F.col(c).cast("long") for c in single.columns))
-    keys = ["gram", "low", "high"]
+    single = places.where("shares = 1").withColumns({"low": F.lit(0), "high": F.lit(0)})
+    several = places.where("shares > 1").withColumn("cell", F.explode(cells)).withColumns({"low": F.col("cell.low"), "high": F.col("cell.high")})
+    columns = [F.col(c).cast("long") for c in _MEETING] + [F.col("bits")]
+    rows, keys = single.select(*columns).unionByName(several.select(*columns)), _MEETING[:3]
     return reachable(rows.repartition(*keys).sortWithinPartitions(*keys)).mapInArrow(_meet, "a long, b long").distinct()
 
 
@@ -367,8 +417,7 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _near_enough(batches):
-    """Of rows ``(a, b, n, m, bits, bits of b)`` the pairs whose parities leave a link possible. A link's difference is at
-    most ``(100 - PERCENT) / (100 + PERCENT)`` of both sizes together."""
+    """Of rows ``(a, b, n, m, bits, bits of b)`` the pairs whose parities leave a link possible."""
     for batch in batches:
         n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
         left, right = batch.column(4), batch.column(5)
@@ -380,7 +429,7 @@ def _near_enough(batches):
                 both = [np.frombuffer(b"".join(x.take(pa.array(part)).to_pylist()), np.uint8).reshape(len(part), -1) for x in (left, right)]
                 x, y = (_folded(b, int(pair.min())) for b in both)
                 differ[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        keep = pa.array((100 + PERCENT) * differ <= (100 - PERCENT) * (n + m))
+        keep = pa.array(_can_link(differ, n + m))
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
@@ -447,7 +496,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
 def links_by_least_hashes(new: DataFrame, docs: DataFrame, known: DataFrame, classes) -> DataFrame:
     """Links between sets that have one of their least hashes in common, each to one set of the group only. Sets that are
     not of its class then are asked for again at another one."""
-    meets, _ = settle(new.select("node", "n", F.explode("least").alias("least")).distinct())
+    # a copy with fewer changes has fewer n-grams of its own, which would come first in its prefix
+    changes = F.expr(f"-aggregate(prefix, 0L, (s, x) -> s + shiftrightunsigned(x, {HASH_BITS})) / size(prefix)")
+    meets, _ = settle(new.select("node", "n", changes.alias("changes"), F.explode("least").alias("least")).distinct())
     links = None
     for turn in range(HUBS):
         # sets linked with one hub are of one class; whole components aren't needed to leave such pairs out
@@ -456,7 +507,8 @@ def links_by_least_hashes(new: DataFrame, docs: DataFrame, known: DataFrame, cla
             stars, seen = settle(links.groupBy(F.col("b").alias("_node")).agg(F.min("a").alias("_hub")))
             classed = meets.join(small(stars, seen), F.col("node") == F.col("_node"), "left").withColumn("class", F.coalesce("_hub", "node")).drop("_node", "_hub")
         classed, _ = settle(classed)
-        hub = F.min_by(F.struct("node", "n", "class"), F.xxhash64("node", F.lit(turn))).alias("hub")
+        mixed = F.xxhash64("node", F.lit(turn))
+        hub = F.min_by(F.struct("node", "n", "class"), mixed if turn else F.struct("changes", mixed)).alias("hub")
         hubs, _ = settle(classed.groupBy("least").agg(hub, F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("least", "hub"))
         pairs = classed.join(hubs, "least").where(F.col("class") != F.col("hub.class"))
         pairs = pairs.where(100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
@@ -469,5 +521,5 @@ def links_by_least_hashes(new: DataFrame, docs: DataFrame, known: DataFrame, cla
 
 def links_by_prefixes(new: DataFrame, docs: DataFrame, known: DataFrame, classes, links: DataFrame) -> DataFrame:
     """All links between sets that ``links`` don't join to one class already."""
-    nodes = _classed(new.select("node", "n", "prefix").dropDuplicates(["node"]), links)
+    nodes = _classed(new.select("node", "n", "prefix", "bits").dropDuplicates(["node"]), links)
     return store(_verified(_candidates(nodes), docs, known, classes), "links")[0]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pathweave.llm import prefix_join
@@ -136,3 +137,45 @@ def test_parities_never_exceed_the_difference():
         size = min(x.shape[1] for x in bits)
         x, y = (prefix_join._folded(z, size) for z in bits)
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def crowd(members=120, seed=9):
+    """Copies of one text with up to a third of its words changed, so that many pairs are near the limit on either side."""
+    rng = random.Random(seed)
+    base = [rng.choice(WORDS) for _ in range(150)]
+    rows = []
+    for i in range(members):
+        own = list(base)
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 6, 8))):
+            own[rng.randrange(len(own))] = f"own{rng.randrange(10_000)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_a_crowd_of_near_copies_makes_few_candidates(spark, monkeypatch):
+    """Parities go before pairs are made, and first hubs are the copies with the fewest changes; no link is lost."""
+    rows = crowd()
+    made, original = [], prefix_join._candidates
+
+    def spy(nodes):
+        made.append((original(nodes).cache().count(), nodes.select("class").distinct().count()))
+        return original(nodes)
+
+    monkeypatch.setattr(prefix_join, "_candidates", spy)
+    sets = [plain_set(r[1]) for r in rows]
+    links = sum(linked(a, b) for i, a in enumerate(sets) for b in sets[:i])
+    assert sorted((tuple(r) for r in prefix_join.jaccard_components(frame(spark, rows)).collect()), key=str) == plain(rows)
+    (candidates, classes), = made
+    assert links > 1000 and candidates < links / 4 and classes < len({s for _, _, s in plain(rows)}) + 25
+    # sets without parities among them, and cells of shares
+    monkeypatch.setattr(prefix_join, "MEMBERS", 147)
+    monkeypatch.setattr(prefix_join, "SHARE", 8)
+    check_all_links(spark, crowd(60, 3))
+
+
+def test_pairs_that_met_before_are_not_made_again():
+    row = lambda gram, node, at, before: [gram, 0, 0, 0, node, 100, at, node, before]
+    meet = lambda *rows: list(prefix_join._pairs(np.array(rows).T, pa.nulls(len(rows), pa.binary()), np.array([0, len(rows)])))
+    assert [b.to_pydict() for b in meet(row(7, 1, 0, 0), row(7, 2, 0, 0))] == [{"a": [1], "b": [2]}]
+    assert sum(b.num_rows for b in meet(row(8, 1, 1, 7), row(8, 2, 1, 7))) == 0
+    assert sum(b.num_rows for b in meet(row(8, 1, 1, 7), row(8, 2, 1, 5))) == 1
