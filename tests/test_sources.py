@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -246,3 +247,14 @@ def test_neighbours_are_counted_in_one_exchange(spark, edges_of):
     m = lambda p, q: sum((s, d) == (p, q) for s, _, d in data)
     want = {(p, q, m(p, q) + m(q, p), m(q, p)) for s, _, d in data if s != d for p, q in ((s, d), (d, s))}
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_words_are_those_between_blanks_of_any_kind(spark, tmp_path):
+    """A line is split once, whatever is asked of its words."""
+    lines = ["1 2 5", "  3 4 6  ", "1  2   7", "1\t2 8", "\t1 2 3", "1 2\t", "1 2 9\t", "1 \x0b2\f5", "", " ", "7", "7 17", "1 2 3 4", "a b c", "1\u00a02 3 4", "x  y"]
+    (tmp_path / "t.txt").write_text("\n".join(lines))
+    plain = [re.split(r"[ \t\x0b\f]+", line.strip(" ")) for line in lines]
+    table = text._words(spark, str(tmp_path))
+    assert sorted(list(r["w"]) for r in table.collect()) == sorted(w for w in plain if w[0])
+    plan = text.read_transitions(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
