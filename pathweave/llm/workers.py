@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+
+from pathweave.session import reachable as reachable
 
 #: Texts of a batch that are Python objects at once.
 AT_ONCE = 128
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def reachable(df: DataFrame) -> DataFrame:
-    """``df``, with the package's folder on the workers' path.
-
-    Workers take the driver's environment but not its ``sys.path``. A cluster whose machines don't have that folder
-    needs the package installed, or given by ``--py-files``.
-    """
-    environment = df.sparkSession.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
-    return df
-
 
 def each_text(texts: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 of a batch's texts one after the other, a few copied out of the batch at a time."""
