@@ -226,3 +226,20 @@ def test_composing_does_not_probe_dead_states(monkeypatch, edges_of):
     monkeypatch.setattr(plans.ProductGraph, "step", spy)
     assert rows(compose(matches, R2)) == accepted(data, R2)
     assert probed and all(3 not in states for states in probed)
+
+
+def test_rounds_leave_no_files_but_the_states(spark, edges_of, monkeypatch):
+    """Runs merged into others and the moves of a query that has ended are deleted, whatever the number of rounds."""
+    gone, runs = [], []
+    for where in (loop, plans):
+        monkeypatch.setattr(where, "discard", lambda t: gone.append(t) or session.discard(t))
+    original = loop.Visited.add
+    monkeypatch.setattr(loop.Visited, "add", lambda self, run, *args: runs.append((self, run)) or original(self, run, *args))
+    edges = edges_of([(i, 5, i + 1) for i in range(14)])
+    found = rpq(edges, Automaton.of("1 5 2; 2 5 2"), spark.createDataFrame([(0,)], "node bigint"))
+    assert rows(found) == {(0, i) for i in range(1, 15)}
+    held = [run for run, _, _ in runs[0][0].runs]
+    assert len(gone) > 3 and not any(t is h for t in gone for h in held)
+    files = lambda t: t._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    exists = lambda t: (p := spark._jvm.org.apache.hadoop.fs.Path(files(t))).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    assert not any(map(exists, gone)) and all(map(exists, held))
